@@ -1,21 +1,23 @@
-"""SentencePiece encoding as a max-plus scan, and decoding.
+"""SentencePiece encoding as a max-plus scan, and decoding, with the library's own ids.
 
-The best segmentation maximises the sum of piece scores. Cut a text at any places: the state at a
-cut is how many characters beyond it the last piece takes (less than the longest piece). A chunk is
-then a matrix over (characters taken on entry, characters taken beyond the exit) of best sums, and
-matrices combine by the associative max-plus product. Giant texts are split into chunks; each
-chunk's matrix is made on its own, the matrices of a text (a few kB per chunk) are combined, which
-fixes the state at every cut, and each chunk is then backtraced on its own.
+A segmentation is a path whose steps are pieces; a step's weight depends on the piece and the one
+before. In a unigram model it is the piece's score. In a model of kind BPE it is 0 if merging the
+two pieces' characters gives back these two pieces, else minus infinity: a sequence is the BPE of a
+text exactly if all its neighbours are such pairs, so one path is left.
+
+Cut a text at any places: the state at a cut is the piece that reaches it or goes beyond it. A chunk
+is then a matrix over (state at its start, state at its end) of best sums, and matrices combine by
+the associative max-plus product. Giant texts are split into chunks; each chunk's matrix is made on
+its own, the matrices of a text are combined, which fixes the state at every cut, and each chunk is
+then backtraced on its own.
 
 Where no piece can cross a place (before a space that follows another character, in models that
 split at spaces) the scan is at rest, so words between such places are solved once and kept in a
 bounded cache.
 
-Scores come from the model file. In a model of kind BPE they are merge ranks: the result is the
-segmentation with the best sum of these, not the order of merges that the library follows, so ids
-can differ from the library's while decoding is exact. A character without a piece costs
-10 below the least score and becomes byte pieces; a literal U+2581 does too, so decoding restores
-any text. Null counts as empty; empty texts have no pieces."""
+A character without a piece costs 10 below the least score and becomes byte pieces; so does a
+literal U+2581 (the library makes it a space), so decoding restores any text. Models with another
+normalisation than identity are refused. Null counts as empty; empty texts have no pieces."""
 
 from __future__ import annotations
 
@@ -43,20 +45,28 @@ class Model(NamedTuple):
     longest: int
     unknown: float
     split: bool
+    merges: bool
 
     @staticmethod
     def load(path: str) -> Model:
         """Read by the driver; tasks get the tables, so no executor needs the file."""
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = sp.get_piece_size()
-        pieces = [sp.id_to_piece(i) for i in range(n)]
-        ids = {p: i for i, p in enumerate(pieces) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
-        scores = {p: sp.get_score(i) for p, i in ids.items()}
-        raw = [b"" if sp.is_control(i) or sp.is_unknown(i) else bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(META, " ").encode() for i, p in enumerate(pieces)]
-        usual = [s for s in scores.values() if s > -1e8]
-        return Model(ids, scores, raw, [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], max(map(len, ids)), min(usual) - 10, not any(META in p.lstrip(META) for p in ids))
+        from sentencepiece import sentencepiece_model_pb2
+
+        proto = sentencepiece_model_pb2.ModelProto()
+        with open(path, "rb") as f:
+            proto.ParseFromString(f.read())
+        form = proto.normalizer_spec
+        if form.precompiled_charsmap or form.remove_extra_whitespaces or not form.add_dummy_prefix or proto.trainer_spec.model_type not in (1, 2):
+            raise ValueError("only unigram and BPE models with identity normalisation are supported")
+        usable = (1, 4)  # of the kinds of piece: normal and user-defined
+        ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type in usable}
+        scores = {p.piece: p.score for p in proto.pieces if p.type in usable}
+        raw = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.replace(META, " ").encode() if p.type in usable else b"" for p in proto.pieces]
+        of_bytes = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == 6}
+        return Model(
+            ids, scores, raw, [of_bytes[f"<0x{b:02X}>"] for b in range(256)], max(map(len, ids)), min(scores.values()) - 10,
+            not any(META in p.lstrip(META) for p in ids), proto.trainer_spec.model_type == 2,
+        )
 
 
 def marked(text: str, first: bool = True) -> str:
@@ -65,129 +75,162 @@ def marked(text: str, first: bool = True) -> str:
     return META + text if first and text else text
 
 
-def _edges(model: Model, text: str, at: int):
-    """(end, score) of the pieces that start at a place."""
-    scores, known = model.scores, False
-    for end in range(at + 1, min(at + model.longest, len(text)) + 1):
-        score = scores.get(text[at:end])
-        if score is not None:
-            known |= end == at + 1
-            yield end, score
-    if not known:
-        yield at + 1, model.unknown
-
-
-def best(model: Model, text: str, start: int, stop: int, last: int | None = None) -> tuple[float, list[int]]:
-    """The best sum and its ids for text[start:stop], whose last piece starts before last."""
-    last = stop if last is None else last
-    sums = [-np.inf] * (stop + 1)
-    back = [0] * (stop + 1)
-    sums[start] = 0.0
-    for at in range(start, min(stop, last)):
-        if sums[at] > -np.inf:
-            for end, score in _edges(model, text, at):
-                if end <= stop and sums[at] + score > sums[end]:
-                    sums[end], back[end] = sums[at] + score, at
-    out: list[int] = []
-    at = stop
-    while at > start and sums[stop] > -np.inf:
-        piece = text[back[at] : at]
-        if piece in model.ids:
-            out.append(model.ids[piece])
-        else:
-            out += [model.bytes_[b] for b in reversed(piece.replace(LITERAL, META).encode())]
-        at = back[at]
-    return sums[stop], out[::-1]
-
-
-def _words(model: Model, text: str) -> list[str]:
-    """Parts that no piece crosses: META characters and what follows them up to the next."""
-    if not model.split:
-        return [text]
-    parts = text.split(META)
-    out, blank = ([parts[0]] if parts[0] else []), 0
-    for part in parts[1:]:
-        blank += 1
-        if part:
-            out.append(META * blank + part)
-            blank = 0
-    return [*out, META * blank] if blank else out
+def merged(model: Model, text: str) -> list[str]:
+    """Merge the neighbours whose joint piece has the best score, leftmost first, until none has one."""
+    parts, scores = list(text), model.scores
+    while len(parts) > 1:
+        best, at = None, 0
+        for i in range(len(parts) - 1):
+            score = scores.get(parts[i] + parts[i + 1])
+            if score is not None and (best is None or score > best):
+                best, at = score, i
+        if best is None:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return parts
+
+
+def rests(model: Model, text: str, lo: int, hi: int) -> tuple[int, int] | None:
+    """The first and last place in lo+1..hi-1 that no piece crosses."""
+    at = [i for i in range(max(1, lo + 1), hi) if text[i] == META != text[i - 1]] if model.split else []
+    return (at[0], at[-1]) if at else None
+
+
+Span = tuple[int, int]
 
 
 class Encoder:
     def __init__(self, model: Model):
-        self.model, self.cache = model, {}
+        self.model, self.cache, self.pairs = model, {}, {}
+
+    def _weight(self, before: str, piece: str) -> float:
+        if not self.model.merges:
+            return self.model.scores.get(piece, self.model.unknown)
+        known = self.pairs.get((before, piece))
+        if known is None:
+            if len(self.pairs) >= CACHE:
+                self.pairs.clear()
+            known = self.pairs[before, piece] = 0.0 if merged(self.model, before + piece) == [x for x in (before, piece) if x] else -np.inf
+        return known
+
+    def _ends(self, text: str, at: int) -> list[int]:
+        """Where the pieces that start at a place end; a character without a piece stands for itself."""
+        scores = self.model.scores
+        found = [end for end in range(at + 2, min(at + self.model.longest, len(text)) + 1) if text[at:end] in scores]
+        return [at + 1, *found] if at < len(text) else []
+
+    def _forward(self, text: str, nodes: dict[int, dict[int, tuple[float, int | None]]], stop: int):
+        """nodes[end][start]: the best sum of a path whose last piece is text[start:end], and the start before; from nodes on, by pieces that start before stop."""
+        at = min(nodes, default=stop)
+        while at < stop:
+            here = nodes.get(at)
+            if here:
+                for end in self._ends(text, at):
+                    piece = text[at:end]
+                    for start, (total, _) in here.items():
+                        total += self._weight(text[start:at], piece)
+                        if total > -np.inf and total > nodes.setdefault(end, {}).get(at, (-np.inf, None))[0]:
+                            nodes[end][at] = (total, start)
+            at += 1
+        return nodes
+
+    def _path(self, text: str, nodes, last: Span, first: Span) -> list[int]:
+        out: list[int] = []
+        start, end = last
+        while (start, end) != first:
+            out += self._ids(text[start:end])[::-1]
+            start, end = nodes[end][start][1], start
+        return out[::-1]
+
+    def _ids(self, piece: str) -> list[int]:
+        known = self.model.ids.get(piece)
+        return [known] if known is not None else [self.model.bytes_[b] for b in piece.replace(LITERAL, META).encode()]
+
+    def best(self, text: str) -> tuple[float, list[int]]:
+        """The best sum and ids of a text, by one scan."""
+        nodes = self._forward(text, {0: {0: (0.0, None)}}, len(text))
+        if not text:
+            return 0.0, []
+        start, (total, _) = max(nodes[len(text)].items(), key=lambda x: x[1][0])
+        return total, self._path(text, nodes, (start, len(text)), (0, 0))
+
+    def words(self, text: str) -> list[str]:
+        """Parts that no piece crosses: META characters and what follows them up to the next."""
+        if not self.model.split:
+            return [text]
+        parts = text.split(META)
+        out, blank = ([parts[0]] if parts[0] else []), 0
+        for part in parts[1:]:
+            blank += 1
+            if part:
+                out.append(META * blank + part)
+                blank = 0
+        return [*out, META * blank] if blank else out
 
     def word(self, word: str) -> bytes:
         found = self.cache.get(word)
         if found is None:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
-            found = self.cache[word] = np.array(best(self.model, word, 0, len(word))[1], np.int32).tobytes()
+            # Merging is quadratic, the scan is not.
+            ids = [i for p in merged(self.model, word) for i in self._ids(p)] if self.model.merges and len(word) <= 64 else self.best(word)[1]
+            found = self.cache[word] = np.array(ids, np.int32).tobytes()
         return found
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a marked text."""
-        return np.frombuffer(b"".join(map(self.word, _words(self.model, text))), np.int32)
-
-    def _rests(self, text: str, size: int) -> tuple[int, int] | None:
-        """The first and last place of a chunk that no piece crosses."""
-        if not self.model.split:
-            return None
-        first = next((i for i in range(1, size) if text[i] == META != text[i - 1]), None)
-        if first is None:
-            return None
-        return first, next(i for i in range(size - 1, 0, -1) if text[i] == META != text[i - 1])
-
-    def _sums(self, text: str, starts: range, size: int, stop: int) -> np.ndarray:
-        """Best sums from each start to each place up to stop, by pieces that start before size."""
-        sums = np.full((stop + 1, len(starts)), -np.inf)
-        for k, s in enumerate(starts):
-            if s <= stop:
-                sums[s, k] = 0
-        for at in range(starts[0], min(size, stop)):
-            if np.isfinite(sums[at]).any():
-                for end, score in _edges(self.model, text, at):
-                    if end <= stop:
-                        np.maximum(sums[end], sums[at] + score, out=sums[end])
-        return sums
-
-    def matrix(self, text: str, size: int) -> np.ndarray:
-        """Best sums of a chunk of size characters, text going on beyond, by characters taken on entry and at the exit."""
-        states = self.model.longest
-        stop, rests = min(len(text), size + states - 1), self._rests(text, size)
-        out = np.full((states, states), -np.inf)
-        if rests is None:
-            sums = self._sums(text, range(states), size, stop)
-            out[:, : stop - size + 1] = sums[size : stop + 1].T
-        else:
-            lo, hi = rests
-            enter = self._sums(text[:lo], range(states), lo, lo)[lo]
-            leave = self._sums(text[hi:], range(1), size - hi, stop - hi)[size - hi :, 0]
-            middle = sum(best(self.model, w, 0, len(w))[0] for w in _words(self.model, text[lo:hi]))
-            out[:, : len(leave)] = enter[:, None] + middle + leave[None, :]
-        return out
-
-    def traced(self, text: str, size: int, enter: int, leave: int) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.word, self.words(text))), np.int32)
+
+    def cut(self, text: str, at: int) -> list[Span]:
+        """The states at a cut: the pieces that start before it and end there or beyond. The start of a text has one."""
+        if at == 0:
+            return [(0, 0)]
+        return [(s, e) for s in range(max(0, at - self.model.longest), at) for e in self._ends(text, s) if e >= at]
+
+    def matrix(self, text: str, lo: int, hi: int) -> np.ndarray:
+        """Best sums of a chunk lo..hi by the states at its ends; text has as many characters around as the longest piece."""
+        enters, leaves = self.cut(text, lo), self.cut(text, hi)
+        at = rests(self.model, text, max(e for _, e in enters), hi)
+        out = np.full((len(enters), len(leaves)), -np.inf)
+        if at is None:
+            for k, (s, e) in enumerate(enters):
+                nodes = self._forward(text, {e: {s: (0.0, None)}}, hi)
+                out[k] = [nodes.get(f, {}).get(t, (-np.inf,))[0] for t, f in leaves]
+            return out
+        first, last = at
+        enter = []
+        for s, e in enters:
+            found = self._forward(text, {e: {s: (0.0, None)}}, first).get(first, {})
+            enter.append(max((v for v, _ in found.values()), default=-np.inf))
+        middle = 0.0 if self.model.merges else sum(self.best(w)[0] for w in self.words(text[first:last]))
+        nodes = self._forward(text, {last: {last: (0.0, None)}}, hi)
+        leave = [nodes.get(f, {}).get(t, (-np.inf,))[0] for t, f in leaves]
+        return np.array(enter)[:, None] + middle + np.array(leave)[None, :]
+
+    def traced(self, text: str, lo: int, hi: int, enter: int, leave: int) -> np.ndarray:
         """The ids of a chunk whose states at both ends are known."""
-        rests = self._rests(text, size)
-        if rests is None:
-            return np.array(best(self.model, text, enter, size + leave, size)[1], np.int32)
-        lo, hi = rests
-        head = best(self.model, text, enter, lo)[1]
-        tail = best(self.model, text[hi:], 0, size - hi + leave, size - hi)[1]
-        return np.concatenate((np.array(head, np.int32), self.encode(text[lo:hi]), np.array(tail, np.int32)))
+        enters = self.cut(text, lo)
+        first, last = enters[enter], self.cut(text, hi)[leave]
+        at = rests(self.model, text, max(e for _, e in enters), hi)
+        nodes = {first[1]: {first[0]: (0.0, None)}}
+        if at is None:
+            return np.array(self._path(text, self._forward(text, nodes, hi), last, first), np.int32)
+        nodes = self._forward(text, nodes, at[0])
+        start = max(nodes[at[0]].items(), key=lambda x: x[1][0])[0]
+        head = self._path(text, nodes, (start, at[0]), first)
+        nodes = self._forward(text, {at[1]: {at[1]: (0.0, None)}}, hi)
+        tail = self._path(text, nodes, last, (at[1], at[1]))
+        return np.concatenate((np.array(head, np.int32), self.encode(text[at[0] : at[1]]), np.array(tail, np.int32)))
 
 
 def states(matrices: list[np.ndarray]) -> list[int]:
-    """The characters taken at each cut of a text, by max-plus products and a walk back; no piece goes beyond the end."""
-    sums, froms = np.full(len(matrices[0]), -np.inf), []
-    sums[0] = 0
+    """The state at each cut of a text, by max-plus products and a walk back from the best end."""
+    sums, froms = np.zeros(1), []
     for m in matrices:
         through = sums[:, None] + m
         froms.append(through.argmax(0))
         sums = through.max(0)
-    out = [0]
+    out = [int(sums.argmax())]
     for f in reversed(froms):
         out.append(int(f[out[-1]]))
     return out[::-1]
@@ -198,6 +241,25 @@ def decode(model: Model, ids) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
+_ENCODERS: dict = {}
+
+
+def _encoder(sent) -> Encoder:
+    """One for each model and worker, so its cache serves all tasks there."""
+    if id(sent.value) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[id(sent.value)] = Encoder(sent.value)
+    return _ENCODERS[id(sent.value)]
+
+
+def around(text: str, start: int, size: int, reach: int) -> tuple[str, int, int]:
+    """A chunk start..start+size of a text, marked, with reach characters around, and where it lies in that."""
+    left = min(start, reach)
+    part = marked(text[start - left : start + size + reach], start == left)
+    more = start == left  # the META in front
+    return part, (0 if start == 0 else left + more), left + size + more
+
+
 def encoded(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """(id_col, ids, n_pieces, round_trip) for each row of docs; round_trip: the ids decode to the text."""
     spark = docs.sparkSession
@@ -206,7 +268,7 @@ def encoded(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     kind = dict(texts.dtypes)["id"]
 
     def whole(batches: Iterator[dict]) -> Iterator[dict]:
-        encoder = Encoder(sent.value)
+        encoder = _encoder(sent)
         for batch in batches:
             ids = [encoder.encode(marked(t)) for t in batch["text"]]
             good = [decode(sent.value, i.tolist()) == t for i, t in zip(ids, batch["text"], strict=True)]
@@ -215,36 +277,38 @@ def encoded(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     small = mapped(texts.where(F.length("text") <= chunk), whole, f"id {kind}, ids array<int>, n_pieces long, round_trip boolean")
 
     giant = staged(texts.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id()), "giant")
+    reach = model.longest
     cut = giant.select("row", F.length("text").alias("length"), "text", F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(chunk))).alias("start"))
     size = F.least(F.lit(chunk), F.col("length") - F.col("start"))
-    beyond = model.longest
-    cut = cut.select("row", "start", size.alias("size"), F.substring("text", F.col("start") + 1, F.lit(chunk + beyond)).alias("text"))
+    left = F.least(F.col("start"), F.lit(reach))
+    cut = cut.select("row", "start", left.alias("left"), size.alias("size"), F.substring("text", F.col("start") - left + 1, left + size + reach).alias("text"))
+    columns = ("text", "start", "left", "size")
 
-    def seen(text: str, start: int, size: int) -> tuple[str, int]:
-        text = marked(text, start == 0)
-        return text, size + (start == 0)
+    def seen(text: str, start: int, left: int, size: int) -> tuple[str, int, int]:
+        """As around(), of a part that has left characters before the chunk."""
+        begins = start == left
+        return marked(text, begins), 0 if start == 0 else left + begins, left + size + begins
 
     def matrices(batches: Iterator[dict]) -> Iterator[dict]:
-        encoder = Encoder(sent.value)
+        encoder = _encoder(sent)
         for batch in batches:
-            made = [encoder.matrix(*seen(*x)).ravel() for x in zip(batch["text"], batch["start"], batch["size"], strict=True)]
-            yield {"row": batch["row"], "start": batch["start"], "sums": made}
+            made = [encoder.matrix(*seen(*x)) for x in zip(*(batch[c] for c in columns), strict=True)]
+            yield {"row": batch["row"], "start": batch["start"], "enters": [len(m) for m in made], "sums": [m.ravel() for m in made]}
 
     def combined(batches: Iterator[dict]) -> Iterator[dict]:
-        n = sent.value.longest
         for batch in batches:
             out: dict = {"row": [], "start": [], "enter": [], "leave": []}
             for row, parts in zip(batch["row"], batch["parts"], strict=True):
-                at = states([np.array(p["sums"]).reshape(n, n) for p in parts])
+                at = states([np.array(p["sums"]).reshape(p["enters"], -1) for p in parts])
                 for k, p in enumerate(parts):
                     for c, v in (("row", row), ("start", p["start"]), ("enter", at[k]), ("leave", at[k + 1])):
                         out[c].append(v)
             yield out
 
     def trace(batches: Iterator[dict]) -> Iterator[dict]:
-        encoder = Encoder(sent.value)
+        encoder = _encoder(sent)
         for batch in batches:
-            ids = [encoder.traced(*seen(t, s, z), e, v) for t, s, z, e, v in zip(*(batch[c] for c in ("text", "start", "size", "enter", "leave")), strict=True)]
+            ids = [encoder.traced(*seen(t, s, f, z), e, v) for t, s, f, z, e, v in zip(*(batch[c] for c in (*columns, "enter", "leave")), strict=True)]
             yield {"row": batch["row"], "start": batch["start"], "ids": ids}
 
     def checked(batches: Iterator[dict]) -> Iterator[dict]:
@@ -252,9 +316,9 @@ def encoded(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             good = [decode(sent.value, i) == t for i, t in zip(batch["ids"], batch["text"], strict=True)]
             yield {"id": batch["id"], "ids": batch["ids"], "n_pieces": [len(i) for i in batch["ids"]], "round_trip": good}
 
-    sums = mapped(cut, matrices, "row long, start int, sums array<double>")
-    # A text of at most 2 GB has at most 32,768 chunks of 2 kB each.
-    parts = sums.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "sums"))).alias("parts"))
+    sums = mapped(cut, matrices, "row long, start int, enters int, sums array<double>")
+    # A text of at most 2 GB has at most 32,768 chunks of a few kB each.
+    parts = sums.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "enters", "sums"))).alias("parts"))
     at = mapped(parts, combined, "row long, start int, enter int, leave int")
     traced = mapped(cut.join(at, ["row", "start"]), trace, "row long, start int, ids array<int>")
     joined = traced.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "ids"))), lambda p: p["ids"])).alias("ids"))

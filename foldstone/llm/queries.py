@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import leaks
 from .near_dup import near_duplicates
+from .pieces import Model, encoded
 from .quality import quality
 from .secrets import secrets
 
@@ -39,3 +40,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {}
 #: The model file that piece encoding reads on the driver.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents"), Model.load(PIECES))
+
+
+QUERIES["op10_pieces"] = op10_pieces
