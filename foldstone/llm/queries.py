@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .crf import fold, toxicity
 from .decontaminate import leaks
 from .near_dup import near_duplicates
 from .pieces import Model, encoded
 from .quality import quality
 from .secrets import secrets
+from .training_order import sequences, shards, vocabulary
+from .url_rules import judged
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,3 +50,24 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_pieces"] = op10_pieces
+
+
+#: The vocabulary of the token-id shards, read by the driver, and how the library cuts texts before merging.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+ORDER_KEY = 20_240_229
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 5))
+
+
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards(sequences(table(spark, sf_dir, "documents"), vocabulary(RANKS), PATTERN), ORDER_KEY)
+
+
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "pages")).drop("mined")
+
+
+QUERIES |= {"op1_toxicity": op1_toxicity, "op3_training_order": op3_training_order, "op6_url_rules": op6_url_rules}
