@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .crf import fold, toxicity
 from .decontaminate import leaks
+from .html_text import main_text
 from .near_dup import near_duplicates
 from .pieces import Model, encoded
 from .quality import quality
@@ -71,3 +72,10 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op1_toxicity": op1_toxicity, "op3_training_order": op3_training_order, "op6_url_rules": op6_url_rules}
+
+
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES["op7_main_text"] = op7_main_text
