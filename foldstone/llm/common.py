@@ -95,26 +95,31 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word (A-Z lower-cased) of all texts in order, and the texts' word offsets."""
+def word_places(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts (A-Z lower-cased), where words start and end in them, and the texts' word offsets."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     ends_of = np.cumsum([len(r) + 1 for r in raw])
     data = _LOWER[np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)]
-    inside = np.empty(len(data) + 1, np.int8)
-    inside[0] = 0
+    inside = np.zeros(len(data) + 1, np.int8)
     inside[1:] = ~_BLANK[data]
     edge = np.diff(inside)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return data, starts, ends, np.concatenate(([0], np.searchsorted(starts, ends_of)))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word."""
     rolled = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_LETTER[data] * _powers(_BASE, len(data)), dtype=np.uint64, out=rolled[1:])
     own = (rolled[ends] - rolled[starts]) * _powers(_INVERSE, len(data))[starts]
-    return mix(own + (ends - starts).astype(np.uint64)), np.concatenate(([0], np.searchsorted(starts, ends_of)))
+    return mix(own + (ends - starts).astype(np.uint64))
 
 
 def shingle_sets(texts: list[str], size: int) -> Iterator[np.ndarray]:
     """The sorted distinct hashes of each text's size-word shingles; fewer words make one, none an empty set."""
     for a, b in text_blocks(texts):
-        words, at = word_hashes(texts[a:b])
+        data, starts, ends, at = word_places(texts[a:b])
+        words = word_hashes(data, starts, ends)
         rolled = np.zeros(max(0, len(words) - size + 1), np.uint64)
         for k in range(size):
             rolled = rolled * np.uint64(_BASE) + words[k : k + len(rolled)]

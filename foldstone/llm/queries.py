@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .crf import fold, toxicity
 from .decontaminate import leaks
+from .gru import language_model
 from .html_text import main_text
 from .near_dup import near_duplicates
 from .pieces import Model, encoded
@@ -79,3 +80,10 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_main_text"] = op7_main_text
+
+
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model(table(spark, sf_dir, "documents"), fold("doc_id", 10))
+
+
+QUERIES["op8_language_model"] = op8_language_model
