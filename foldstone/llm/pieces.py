@@ -21,6 +21,7 @@ normalisation than identity are refused. Null counts as empty; empty texts have
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -30,11 +31,11 @@ from pyspark.sql import functions as F
 
 from .common import mapped, staged
 
-META, LITERAL = "▁", "\ud800"
+META, LITERAL, NEVER = "▁", "\ud800", float("-inf")
 #: Characters of a chunk; longer texts are split.
 CHUNK = 1 << 16
-#: Words whose pieces a task remembers.
-CACHE = 200_000
+#: Words whose pieces a worker remembers, in each of two halves.
+CACHE = 400_000
 
 
 class Model(NamedTuple):
@@ -77,16 +78,19 @@ def marked(text: str, first: bool = True) -> str:
 
 def merged(model: Model, text: str) -> list[str]:
     """Merge the neighbours whose joint piece has the best score, leftmost first, until none has one."""
-    parts, scores = list(text), model.scores
-    while len(parts) > 1:
-        best, at = None, 0
-        for i in range(len(parts) - 1):
-            score = scores.get(parts[i] + parts[i + 1])
-            if score is not None and (best is None or score > best):
-                best, at = score, i
-        if best is None:
+    parts, get = list(text), model.scores.get
+    joint = [get(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+    while joint:
+        best = max(joint)
+        if best == NEVER:
             break
+        at = joint.index(best)
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        del joint[at]
+        if at:
+            joint[at - 1] = get(parts[at - 1] + parts[at], NEVER)
+        if at < len(joint):
+            joint[at] = get(parts[at] + parts[at + 1], NEVER)
     return parts
 
 
@@ -101,7 +105,7 @@ Span = tuple[int, int]
 
 class Encoder:
     def __init__(self, model: Model):
-        self.model, self.cache, self.pairs = model, {}, {}
+        self.model, self.cache, self.older, self.pairs = model, {}, {}, {}
 
     def _weight(self, before: str, piece: str) -> float:
         if not self.model.merges:
@@ -159,6 +163,8 @@ class Encoder:
         if not self.model.split:
             return [text]
         parts = text.split(META)
+        if parts[-1] and META * 2 not in text:
+            return [*parts[:1], *(META + p for p in parts[1:])] if parts[0] else [META + p for p in parts[1:]]
         out, blank = ([parts[0]] if parts[0] else []), 0
         for part in parts[1:]:
             blank += 1
@@ -168,18 +174,27 @@ class Encoder:
         return [*out, META * blank] if blank else out
 
     def word(self, word: str) -> bytes:
-        found = self.cache.get(word)
+        found = self.older.get(word)
         if found is None:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
             # Merging is quadratic, the scan is not.
-            ids = [i for p in merged(self.model, word) for i in self._ids(p)] if self.model.merges and len(word) <= 64 else self.best(word)[1]
-            found = self.cache[word] = np.array(ids, np.int32).tobytes()
+            if self.model.merges and len(word) <= 64:
+                parts = merged(self.model, word)
+                ids = list(map(self.model.ids.get, parts))
+                if None in ids:
+                    ids = [i for p in parts for i in self._ids(p)]
+            else:
+                ids = self.best(word)[1]
+            found = array("i", ids).tobytes()
+        if len(self.cache) >= CACHE:  # words that are still in use come back from the older half
+            self.older, self.cache = self.cache, {}
+        self.cache[word] = found
         return found
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a marked text."""
-        return np.frombuffer(b"".join(map(self.word, self.words(text))), np.int32)
+        words = self.words(text)
+        found = list(map(self.cache.get, words))
+        return np.frombuffer(b"".join([self.word(w) if f is None else f for w, f in zip(words, found, strict=True)]), np.int32)
 
     def cut(self, text: str, at: int) -> list[Span]:
         """The states at a cut: the pieces that start before it and end there or beyond. The start of a text has one."""
