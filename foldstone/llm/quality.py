@@ -107,5 +107,7 @@ def good_rows(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame
     out = docs.select(*own, F.col(text_col).alias("_given"))
     for name, column in measures(F.col("_given")).items():
         out = out.withColumn(name, column)
-    out = out.where((F.col("n_words") >= 10) & (100 * F.col("n_repeat_words") <= 20 * F.col("n_words")) & compiled(rules))
+    good = (F.col("n_words") >= 10) & (100 * F.col("n_repeat_words") <= 20 * F.col("n_words")) & compiled(rules)
+    # A row number in the projection keeps the filter above it: pushed down, it would hold the measures many times over.
+    out = out.withColumns({"_good": good, "_row": F.monotonically_increasing_id()}).where("_good and _row >= 0")
     return out.select(*(F.col(f"_own{i}").alias(c) for i, c in enumerate(docs.columns)))
