@@ -29,6 +29,8 @@ from .common import fold_mod, mapped, text_blocks
 SAMPLE = 3000
 #: Feature slots, passes of the fit, and the evidence a feature needs to label words.
 SLOTS, PASSES, EVIDENCE, ODDS = 1 << 18, 30, 30.0, 15.0
+#: Least chance of a word that counts towards its document.
+FLOOR = 0.2
 #: Words whose emissions a task remembers.
 CACHE = 300_000
 WORD = re.compile(r"\w+")
@@ -141,8 +143,10 @@ class Field:
 
     @staticmethod
     def measures(chance: np.ndarray) -> list[float]:
-        """Of a document: 1, the logarithm of the expected number of toxic words, and the highest chance."""
-        return [1.0, float(np.log1p(20 * chance.sum())), float(chance.max(initial=0.0))]
+        """Of a document: 1, the logarithm of the expected number of toxic words, and the highest chance.
+
+        Chances below FLOOR are left out, or a long text would gather them to a toxic word."""
+        return [1.0, float(np.log1p(20 * chance[chance >= FLOOR].sum())), float(chance.max(initial=0.0))]
 
     def score(self, chance: np.ndarray) -> float:
         return float(1 / (1 + np.exp(-np.dot(self.curve, self.measures(chance)))))
@@ -230,7 +234,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str =
     # The sample's ids are chosen among the labelled ids alone; only their texts are then read.
     one = given.where("not held_out").select("id").distinct().join(one, "id")
     some = [one.where(F.col("toxic") == k).orderBy(F.xxhash64("id"), "id").limit(sample) for k in (0, 1)]
-    chosen = given.where("not held_out").dropDuplicates(["id"]).join(F.broadcast(some[0].union(some[1])), "id").orderBy(F.xxhash64("id")).select("text", "toxic")
+    chosen = given.where("not held_out").join(F.broadcast(some[0].union(some[1])), "id").dropDuplicates(["id"]).orderBy(F.xxhash64("id")).select("text", "toxic")
     field = _fitted(chosen)
     sent = docs.sparkSession.sparkContext.broadcast(field)
 

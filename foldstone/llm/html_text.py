@@ -24,7 +24,8 @@ from .common import mapped, staged
 from .url_rules import parts
 
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th tr figcaption summary legend".split())
+#: What text stands in inside a container, and is none itself.
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 hgroup ul ol dl li dt dd pre blockquote table thead tbody tfoot tr td th figure figcaption details summary legend address center".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp noframes".split())
 FURNITURE_TAGS = frozenset("nav header footer aside form script style noscript template iframe object button select option textarea input svg math head title menu dialog".split())
@@ -136,8 +137,9 @@ def best_path(page: Page) -> tuple[str, float]:
     scores: dict[int, float] = {}
     for element, text, links in page.blocks:
         gain = max(0, len(text) - 3 * links)
-        parent, path, _ = page.elements[element]
-        at = parent if path.rpartition("/")[2].split(".")[0] in LEAVES else element
+        at = element
+        while at > 0 and page.elements[at][1].rpartition("/")[2].split(".")[0] in LEAVES and page.elements[at][0] > 0:
+            at = page.elements[at][0]
         for share in (1.0, 0.5):
             if at > 0:
                 scores[at] = scores.get(at, 0.0) + gain * share

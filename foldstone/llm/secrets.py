@@ -27,8 +27,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 #: Least characters of a run that the models may flag, and least log-likelihood ratio in nats.
-MIN_RUN, MIN_RATIO = 20, 15.0
+MIN_RUN, MIN_RATIO = 20, 10.0
 SYMBOLS = 128
+#: Weight of single symbols in a model of pairs.
+LEAN = 50.0
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -72,10 +74,11 @@ def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     for row in counts.collect():  # at most 2 * SYMBOLS ** 2 rows
         table[row.label, row.pair // SYMBOLS, row.pair % SYMBOLS] = row.n
     letters = [0, *map(ord, "+/_=-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz.")]
-    smooth = np.zeros((SYMBOLS, SYMBOLS))
-    smooth[np.ix_(letters, letters)] = 1
-    table += smooth + 1e-9
-    logs = np.log(table / table.sum(2, keepdims=True))
+    single = np.full((2, 1, SYMBOLS), 1e-9)
+    single[:, :, letters] = table.sum(1, keepdims=True)[:, :, letters] + 1
+    single /= single.sum(2, keepdims=True)
+    # A symbol that was seldom seen leans on the frequencies of single symbols.
+    logs = np.log((table + LEAN * single) / (table.sum(2, keepdims=True) + LEAN))
     return logs[1] - logs[0]
 
 

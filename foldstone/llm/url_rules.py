@@ -3,7 +3,8 @@
 Urls that a fixed rule decides are the labels. Their tokens (labels of the host with their place,
 parts of the path, names of the query) and the label are the items of a transaction; FP-growth finds
 frequent combinations, and rules from tokens to the label block are kept if their support and
-confidence reach the bounds and no more general rule is as sure. An inverted index from token to
+confidence reach the bounds, they say more than the share of blocked labels does, and no more general
+rule is as sure. An inverted index from token to
 rules, with each rule's size, finds the rules all of whose tokens a url has. Any such rule blocks.
 
 Null urls and urls without :// have empty host and path, match no fixed rule and have no tokens, so
@@ -25,8 +26,8 @@ RULES: tuple[tuple[str, str, str], ...] = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Least share of transactions and least confidence of a mined rule, and most tokens in it.
-SUPPORT, CONFIDENCE, TOKENS = 0.005, 0.8, 4
+#: Least share of transactions, confidence and lift of a mined rule, and most tokens in it.
+SUPPORT, CONFIDENCE, LIFT, TOKENS = 0.005, 0.8, 1.05, 4
 #: Mined rules that are kept at most, the surest first; far more than SUPPORT and TOKENS let through in practice.
 MINED = 20_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -70,7 +71,7 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     known = F.array(*map(F.lit, usual)) if usual else F.array().cast("array<string>")
     baskets = labelled.select(F.concat(F.array_intersect("tokens", known), F.array(F.concat(F.lit("="), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    rules = model.associationRules.where((F.col("consequent")[0] == "=block") & (F.size("antecedent") <= TOKENS))
+    rules = model.associationRules.where((F.col("consequent")[0] == "=block") & (F.size("antecedent") <= TOKENS) & (F.col("lift") >= LIFT))
     rules = rules.where(~F.array_contains("antecedent", "=allow")).orderBy(F.desc("confidence"), F.desc("support"), F.size("antecedent"), F.array_sort("antecedent").cast("string")).limit(MINED)
     kept: list[tuple[tuple[str, ...], float, float]] = []
     for r in sorted(rules.collect(), key=lambda r: (len(r.antecedent), -r.confidence, sorted(r.antecedent))):
