@@ -141,6 +141,16 @@ class LayeredTable:
             return self.spark.createDataFrame([], self.schema).select("key", "value")
         return merged(layers, drop_deleted=True).select("key", "value")
 
+    def adopt(self) -> list[int]:
+        """List the layers of a folder without a manifest, by number; the manifest's layers."""
+        m = self.manifest()
+        if not self._fs.exists(self._at(f"{self.path}/manifest.json")):
+            names = [s.getPath().getName() for s in self._fs.listStatus(self._at(self.path))]
+            m.layers = sorted(int(n[6:]) for n in names if n.startswith("layer-") and n[6:].isdigit())
+            m.next_id = max(m.layers, default=-1) + 1
+            self._publish(m)
+        return m.layers
+
     def vacuum(self) -> list[str]:
         """Delete folders that the manifest does not list, and staging files; their names."""
         listed = {f"layer-{i:06d}" for i in self.manifest().layers} | {"manifest.json"}

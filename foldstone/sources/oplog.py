@@ -48,17 +48,20 @@ def generated(spark: SparkSession, n: int, seed: int, keys: int = 8) -> DataFram
     )
 
 
-def numbered(writes: DataFrame, order: str, base: int = 0) -> DataFrame:
+def numbered(writes: DataFrame, order: str, base: int = 0, ranges: int = 64) -> DataFrame:
     """Dense sequence numbers from base in the order of a column, without one task for all rows.
 
-    Rows are sorted into range partitions; each partition's count, a few numbers for each, gives the
-    others their offsets."""
-    placed = writes.orderBy(order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_part", "_first", before.alias("_offset"))
-    dense = F.lit(base) + F.col("_offset") + F.col("_at") - F.col("_first")
-    return placed.join(F.broadcast(offsets), "_part").withColumn("seq", dense).drop("_part", "_at", "_first", "_offset")
+    Rows are dealt to ranges of values, whose bounds are the values of least hash; each range's count
+    gives the ones above it their offset. A row's range depends on its value alone, so a retried task
+    or another plan gives the same number. Rows of equal values are numbered in any order."""
+    some = writes.select(order).where(F.col(order).isNotNull()).distinct().orderBy(F.xxhash64(order)).limit(ranges - 1)
+    bounds = [r[0] for r in some.orderBy(order).collect()]  # fewer than ranges
+    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order))) if bounds else F.lit(0)
+    placed = writes.withColumn("_range", F.coalesce(at, F.lit(0)))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = placed.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", before.alias("_offset"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
+    return placed.withColumn("_own", own).join(F.broadcast(offsets), "_range").withColumn("seq", F.lit(base) + F.col("_offset") + F.col("_own")).drop("_range", "_own", "_offset")
 
 
 def first_gap(ops: DataFrame) -> DataFrame:

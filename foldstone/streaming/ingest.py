@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from foldstone.operators.front import accepted, as_operations, byte_bucket, responses
 from foldstone.operators.layers import LayeredTable
-from foldstone.sources.oplog import mutations
+from foldstone.sources.oplog import mutations, numbered
 
 
 def into_layers(table: LayeredTable, ops: DataFrame, checkpoint: str, compact: bool = True) -> StreamingQuery:
@@ -22,3 +24,23 @@ def into_layers(table: LayeredTable, ops: DataFrame, checkpoint: str, compact: b
 
 def op_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
+
+
+def serve(table: LayeredTable, lines: DataFrame, out: str, checkpoint: str, bucket=None) -> StreamingQuery:
+    """Answer streams of request lines: the responses of batch n are written to out/batch=n, then its writes become a layer.
+
+    lines has a column value. A batch that is tried again before its layer was published
+    overwrites its own folder; after that it does nothing."""
+
+    def answer(batch: DataFrame, number: int) -> None:
+        read = batch.select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("at")).persist()
+        placed = numbered(read, "at").select(F.col("seq").alias("seq_in"), "line").persist()
+        if number > table.manifest().last_batch:
+            made = responses(table.read(), placed, bucket or byte_bucket())
+            made.orderBy("seq_in").select(F.col("response").alias("value")).write.mode("overwrite").text(f"{out}/batch={number}")
+            table.flush(as_operations(accepted(placed)).where(F.col("op").isin("put", "delete")).select("seq", "op", "key", "value"), number)
+            table.maintain()
+        placed.unpersist()
+        read.unpersist()
+
+    return lines.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -188,3 +188,14 @@ def test_quorum(spark):
 def test_generated_stream_has_its_mix(spark):
     shares = {r.op: r["count"] / 20_000 for r in oplog.generated(spark, 20_000, seed=3).groupBy("op").count().collect()}
     assert all(abs(shares[k] - v) < 0.02 for k, v in {"put": 0.45, "delete": 0.2, "get": 0.2, "scan": 0.15}.items())
+
+
+def test_numbers_are_dense_in_order(spark):
+    rows = spark.range(5000).select(F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("key")).repartition(7)
+    got = [(r.seq, r.key) for r in oplog.numbered(rows, "key", base=3).collect()]
+    assert sorted(got) == list(enumerate(sorted(k for _, k in got), 3))
+    same = oplog.numbered(spark.range(50).select((F.col("id") % 3).alias("key")), "key").collect()
+    assert sorted(r.seq for r in same) == list(range(50))
+    assert oplog.numbered(rows.where("false"), "key").count() == 0
+    raw = spark.createDataFrame([(bytes([i]),) for i in range(256)], "key binary")
+    assert all(r.seq == r.key[0] for r in oplog.numbered(raw, "key").collect())
