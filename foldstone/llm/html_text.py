@@ -34,7 +34,7 @@ FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search
 #: Leading paths of a host that a page is asked for, in order.
 LEADERS = 3
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _DIGITS = re.compile(r"\d+")
 _SPLIT = re.compile(r"[\W_]+|(?<=[a-z])(?=[A-Z])")

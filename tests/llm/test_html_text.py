@@ -22,6 +22,7 @@ def test_broken_markup():
     assert text("<article><p><b>one<br><p>two &lt;x&gt; &#233;&nbsp;z<p>") == "one\n\ntwo <x> é z"
     assert text("<article><ul><li>a<li>b<ul><li>c</ul></ul><table><tr><td>d<td>e</table></article>tail") == "a\n\nb\n\nc\n\nd\n\ne"
     assert text("<div><p>open <i>never closed</div><p>x <!-- no --> y") in ("open never closed", "open never closed\n\nx y")
+    assert text("<article><p title=it's>one</p><p title='a>b' alt=\"c>d\">two</p><p class=\"x>three</p><p>four's") == "one\n\ntwo\n\nthree\n\nfour's"
     assert text("plain text only") == "plain text only"
     assert text("a < b <article><p title='<p>'>in 1 < 2 side</p></article>") == "in 1 < 2 side"
     assert text("<script>never ended <p>x") == text(None) == text("") == text("<") .strip("<") == ""
