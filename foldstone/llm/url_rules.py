@@ -55,7 +55,8 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     """Distinct tokens: host labels from the right with their place, path parts with digits made one 0, names of query fields."""
     labels = F.transform(F.reverse(F.split(host, r"\.")), lambda x, i: F.concat(F.lit("h"), i.cast("string"), F.lit("="), x))
     folders = F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x: F.concat(F.lit("p="), F.regexp_replace(x, r"\d+", "0")))
-    fields = F.transform(F.split(F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1), "&"), lambda x: F.concat(F.lit("q="), F.split(x, "=")[0]))
+    names = F.transform(F.split(F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1), "&"), lambda x: F.split(x, "=")[0])
+    fields = F.transform(F.filter(names, lambda x: x != ""), lambda x: F.concat(F.lit("q="), x))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(labels, folders, fields)))
 
 
