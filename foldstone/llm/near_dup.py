@@ -131,7 +131,8 @@ def near_duplicates(docs: DataFrame, shingle: int, num: int, den: int = 100, id_
 
     lists = reps.select("rep", "n", F.explode("keys").alias("key"))
     shared = lists.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last")
-    lists = staged(lists.join(shared.select("key", "lead"), "key").select("key", "rep", "n", "lead"), "lists")
+    shared = staged(shared.select("key", "lead"), "shared")  # a written side lets Spark split a hot list in the join
+    lists = staged(lists.join(shared, "key").select("key", "rep", "n", "lead"), "lists")
 
     sketches = reps.select("rep", "n", "sketch")
     whole = classes.select("rep").join(texts, F.col("rep") == F.col("id")).select("rep", "text")
@@ -158,7 +159,7 @@ def near_duplicates(docs: DataFrame, shingle: int, num: int, den: int = 100, id_
         told = lists.select("key", "rep", "n").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
         told = told.withColumn("root", F.coalesce("root", "rep"))
         least = told.groupBy("key").agg(F.min(F.struct("root", "rep")).alias("least"), F.max("root").alias("last")).where("least.root <> last")
-        return told.join(least.select("key", "least"), "key")
+        return told.join(staged(least.select("key", "least"), "least"), "key")
 
     lists = staged(open_lists(lists), "open")
     pairs = ordered(lists.where("root <> least.root").select(F.col("least.rep").alias("a"), F.col("rep").alias("b")))
