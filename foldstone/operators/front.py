@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldstone.functions.encoding import to_base64
-from foldstone.functions.limits import clamped_limit, violation
+from foldstone.functions.limits import SCAN_LIMIT_MOST, clamped_limit, violation
 from foldstone.sources.oplog import from_requests
 
 from .fold import BLOCK
@@ -41,9 +41,12 @@ def responses(view: DataFrame, lines: DataFrame, bucket: Callable[[Column], Colu
     points = point_results(log, block).where("seq >= 0").select(F.col("seq").alias("seq_in"), "observed", "was_live")
     limits = ops.where("op = 'scan'").select(F.col("seq").alias("scan"), clamped_limit(F.col("limit")).alias("most"))
     pair = F.struct("key", to_base64(F.col("key")).alias("key_b64"), to_base64(F.col("value")).alias("value_b64"))
-    seen = scan_pairs(log, bucket, block).join(limits, "scan").groupBy(F.col("scan").alias("seq_in"))
-    pairs = seen.agg(F.array_sort(F.collect_list(pair)).alias("all"), F.first("most").alias("most"))
-    pairs = pairs.select("seq_in", F.transform(F.slice("all", 1, F.col("most").cast("int")), lambda p: F.struct(p["key_b64"].alias("key_b64"), p["value_b64"].alias("value_b64"))).alias("found"))
+    place = F.row_number().over(Window.partitionBy("scan").orderBy("key"))
+    # The fixed bound is applied before the shuffle, so no scan brings more pairs together than it may return.
+    seen = scan_pairs(log, bucket, block).withColumn("place", place).where(F.col("place") <= SCAN_LIMIT_MOST)
+    seen = seen.join(limits, "scan").where(F.col("place") <= F.col("most")).groupBy(F.col("scan").alias("seq_in"))
+    found = F.transform(F.array_sort(F.collect_list(pair)), lambda p: F.struct(p["key_b64"].alias("key_b64"), p["value_b64"].alias("value_b64")))
+    pairs = seen.agg(found.alias("found"))
     told = requests.join(points, "seq_in", "left").join(pairs, "seq_in", "left")
     missing = F.col("code").isNull() & (F.col("op") == "get") & ~F.col("was_live")
     ok = F.col("code").isNull() & ~missing
