@@ -3,8 +3,8 @@
 Every page is parsed into containers and blocks of text. A block's characters, less those of its
 links, count for its container and half for the one around it; a page votes for its best container
 by a generalised path of tags and classes (digits made 0). Spark counts the votes of a host's pages,
-and every page is read again: the blocks inside the elements on the host's leading path that the
-page has, else inside its own best container, are its text.
+and every page is read again: the blocks inside the elements on the host's winning path if the page
+has it, else inside its own best container, are its text.
 
 Parts of the page furniture (by tag, or a word of class, id or role) never count as text. Null pages
 are empty; pages without text give the empty text; urls without a host vote together; repeated rows
@@ -31,8 +31,6 @@ RAW = frozenset("script style textarea title xmp noframes".split())
 FURNITURE_TAGS = frozenset("nav header footer aside form script style noscript template iframe object button select option textarea input svg math head title menu dialog".split())
 FURNITURE_WORDS = frozenset("ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header menu nav navbar navigation newsletter notice notices pager pagination popup promo promotion related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form".split())
-#: Leading paths of a host that a page is asked for, in order.
-LEADERS = 3
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -150,10 +148,9 @@ def best_path(page: Page) -> tuple[str, float]:
     return page.elements[best][1], scores[best]
 
 
-def extract(page: Page, leaders: list[str]) -> str:
-    """The text inside the elements on the first leading path that the page has, else inside its best container."""
-    paths = {path for _, path, furniture in page.elements if not furniture}
-    wanted = next((p for p in leaders if p and p in paths), None) or best_path(page)[0]
+def extract(page: Page, leader: str | None) -> str:
+    """The text inside the elements on the leading path if the page has it, else inside its best container."""
+    wanted = leader if leader and any(path == leader and not furniture for _, path, furniture in page.elements) else best_path(page)[0]
     inside = [False] * len(page.elements)
     for i, (parent, path, _) in enumerate(page.elements):
         inside[i] = path == wanted or (parent >= 0 and inside[parent])
@@ -172,14 +169,14 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     votes = mapped(rows.select("host", "html"), vote, "host string, path string, score double").where("score > 0")
     counted = votes.groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("score").alias("score"))
-    # A host's paths are few: they are generalised, and only the best of each page is there.
-    ranked = counted.groupBy("host").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), (-F.col("score")).alias("s"), "path"))), 1, LEADERS).alias("ranked"))
-    leaders = staged(ranked.select("host", F.transform("ranked", lambda x: x["path"]).alias("leaders")), "leaders")
+    # Both steps combine before the shuffle, whatever share of pages or paths one host has.
+    leader = counted.groupBy("host").agg(F.max(F.struct("votes", "score", "path")).alias("best"))
+    leaders = staged(leader.select("host", F.col("best.path").alias("leader")), "leaders")
 
     def read(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            texts = [extract(parse(h), lead or []) for h, lead in zip(batch["html"], batch["leaders"], strict=True)]
+            texts = [extract(parse(h), lead) for h, lead in zip(batch["html"], batch["leader"], strict=True)]
             yield {"id": batch["id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]}
 
-    joined = rows.join(leaders, "host", "left").select("id", "url", "html", "leaders")
+    joined = rows.join(leaders, "host", "left").select("id", "url", "html", "leader")
     return mapped(joined, read, f"id {dict(rows.dtypes)['id']}, url string, text string, n_chars long").withColumnsRenamed({"id": id_col, "url": url_col})

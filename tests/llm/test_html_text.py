@@ -1,8 +1,8 @@
 from foldstone.llm.html_text import best_path, extract, main_text, parse
 
 
-def text(html, leaders=()):
-    return extract(parse(html), list(leaders))
+def text(html):
+    return extract(parse(html), None)
 
 
 BODY = "The first paragraph of the article is long enough to count.", "The second one says &amp; means more."
