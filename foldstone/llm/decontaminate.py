@@ -24,7 +24,7 @@ from .common import mapped
 #: Items in one automaton.
 BLOCK = 4096
 #: Edits allowed per normalised character of an item.
-RATE = 0.05
+RATE = 0.08
 
 _OTHER = re.compile(r"[\W_]+")
 
