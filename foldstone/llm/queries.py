@@ -18,45 +18,11 @@ from .secrets import secrets
 from .training_order import sequences, shards, vocabulary
 from .url_rules import judged
 
-
-def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets(table(spark, sf_dir, "documents"))
-
-
-def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three words and 85 of 100, as its contract fixes."""
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85)
-
-
-def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents"))
-
-
-def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_secrets": op2_secrets,
-    "op4_near_duplicates": op4_near_duplicates,
-    "op5_quality": op5_quality,
-    "op9_benchmark_leaks": op9_benchmark_leaks,
-}
-ORACLES: dict[str, str] = {}
-#: The model file that piece encoding reads on the driver.
+#: Files of public tokenizers, which the driver reads; and how the byte-level one cuts texts before merging.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-
-
-def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoded(table(spark, sf_dir, "documents"), Model.load(PIECES))
-
-
-QUERIES["op10_pieces"] = op10_pieces
-
-
-#: The vocabulary of the token-id shards, read by the driver, and how the library cuts texts before merging.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The key of the training order.
 ORDER_KEY = 20_240_229
 
 
@@ -64,30 +30,49 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 5))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(sequences(table(spark, sf_dir, "documents"), vocabulary(RANKS), PATTERN), ORDER_KEY)
 
 
-def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(table(spark, sf_dir, "pages")).drop("mined")
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three words and 85 of 100, as its contract fixes."""
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85)
 
 
-QUERIES |= {"op1_toxicity": op1_toxicity, "op3_training_order": op3_training_order, "op6_url_rules": op6_url_rules}
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
 
 
-def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return main_text(table(spark, sf_dir, "pages"))
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "pages")).drop("mined")
 
 
-QUERIES["op7_main_text"] = op7_main_text
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
 
 
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model(table(spark, sf_dir, "documents"), fold("doc_id", 10))
 
 
-QUERIES["op8_language_model"] = op8_language_model
+def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents"), Model.load(PIECES))
+
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    q.__name__: q
+    for q in (op1_toxicity, op2_secrets, op3_training_order, op4_near_duplicates, op5_quality, op6_url_rules, op7_main_text, op8_language_model, op9_benchmark_leaks, op10_pieces)
+}
+#: SQL for the same rows, where it can express them.
+ORACLES: dict[str, str] = {}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x20\x09-\x0D]+"
