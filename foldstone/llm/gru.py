@@ -8,8 +8,8 @@ each text's rare words are joined with. Output: a class from the state, then a w
 The most frequent words form small classes, in which the word depends on the state too; the others
 are classed by ending and frequency, and drawn by count inside a class.
 
-Every partition trains on a hash-chosen share of its training texts, so the share grows with the
-corpus; parameters are averaged after each round. A text is scored whole: the state is carried from
+Every partition trains on all of its training texts in each round; parameters are averaged after each
+round. A text is scored whole: the state is carried from
 window to window. Null texts are empty: they have the end alone. Without training texts every word
 is unknown; the model then is its start. Repeated rows are scored each on its own."""
 
@@ -27,8 +27,8 @@ from .common import mapped, staged, text_blocks, word_hashes, word_places
 HEAD, TOP, IN_CLASS, ENDINGS = 1 << 18, 512, 32, 8
 FULL = TOP // IN_CLASS
 CLASSES = FULL + 2 * ENDINGS
-#: Width of the state, steps of backpropagation, texts side by side, rounds, and one in how many texts trains.
-STATE, STEPS, LANES, ROUNDS, SHARE = 16, 32, 64, 2, 8
+#: Width of the state, steps of backpropagation, texts side by side, rounds, and one in how many texts (by id) trains: every one.
+STATE, STEPS, LANES, ROUNDS, SHARE = 16, 32, 64, 2, 1
 INPUTS = TOP + CLASSES
 END = np.int64(7)  # the hash of the end; its ending is 7
 SMOOTH = 0.1
@@ -112,26 +112,37 @@ def step(p: dict, state: np.ndarray, inputs: np.ndarray) -> tuple[np.ndarray, tu
     """The next state: a gate of renewal, a gate of reset, and a proposal."""
     n = STATE
     given, turned = p["input"][inputs], state @ p["turn"]
-    gates = 1 / (1 + np.exp(-(given[:, : 2 * n] + turned[:, : 2 * n])))
-    renew, reset = gates[:, :n], gates[:, n:]
-    proposal = np.tanh(given[:, 2 * n :] + reset * turned[:, 2 * n :])
-    return state + renew * (proposal - state), (state, inputs, renew, reset, proposal, turned[:, 2 * n :])
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+    gates = given[:, : 2 * n] + turned[:, : 2 * n]
+    np.exp(np.negative(gates, out=gates), out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    proposal = gates[:, n:] * turned[:, 2 * n :]
+    proposal += given[:, 2 * n :]
+    np.tanh(proposal, out=proposal)
+    return state + gates[:, :n] * (proposal - state), (state, gates, proposal, turned[:, 2 * n :])
+
+
+def _softmax(x: np.ndarray, target: np.ndarray, chances: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log chance of each row's target and, if asked for, all chances less 1 at the target; x is overwritten."""
+    at = np.arange(len(target))
+    x -= x.max(1, keepdims=True)
+    own = x[at, target]
+    np.exp(x, out=x)
+    sums = x.sum(1)
+    own = own - np.log(sums)
+    if not chances:
+        return own, None
+    x /= sums[:, None]
+    x[at, target] -= 1
+    return own, x
 
 
 def outputs(p: dict, states: np.ndarray, cls: np.ndarray, rank: np.ndarray, slope: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Log chance of each class, and of the word in it for words with a softmax; with slope, adds the gradients and returns that of the states."""
-    logs = _log_softmax(states @ p["class"] + p["class_bias"])
-    at = np.arange(len(cls))
-    out = logs[at, cls].astype(np.float64)
+    logs, d = _softmax(states @ p["class"] + p["class_bias"], cls, slope is not None)
+    out = logs.astype(np.float64)
     back = None
     if slope is not None:
-        d = np.exp(logs)
-        d[at, cls] -= 1
         slope["class"] += states.T @ d
         slope["class_bias"] += d.sum(0)
         back = d @ p["class"].T
@@ -141,20 +152,23 @@ def outputs(p: dict, states: np.ndarray, cls: np.ndarray, rank: np.ndarray, slop
         own = order[bounds[c] : bounds[c + 1]]
         if len(own):
             words = slice(c * IN_CLASS, (c + 1) * IN_CLASS)
-            logs = _log_softmax(states[own] @ p["word"][words].T + p["word_bias"][words])
-            target = rank[own] - c * IN_CLASS
-            out[own] += logs[np.arange(len(own)), target]
+            held = states[own]
+            logs, d = _softmax(held @ p["word"][words].T + p["word_bias"][words], rank[own] - c * IN_CLASS, slope is not None)
+            out[own] += logs
             if slope is not None:
-                d = np.exp(logs)
-                d[np.arange(len(own)), target] -= 1
-                slope["word"][words] += d.T @ states[own]
+                slope["word"][words] += d.T @ held
                 slope["word_bias"][words] += d.sum(0)
                 back[own] += d @ p["word"][words]
     return out, back
 
 
-def train(p: dict, head: Head, texts: list[np.ndarray], rate: float = 0.05) -> int:
-    """One pass of truncated backpropagation, in place; the state of each lane runs on over texts end to end. The number of tokens."""
+def fresh() -> dict[str, np.ndarray]:
+    """Sums of squared gradients before the first of them."""
+    return {k: np.full(s, 1e-3, np.float32) for k, s in SHAPES.items()}
+
+
+def train(p: dict, head: Head, texts: list[np.ndarray], rate: float = 0.05, squares: dict | None = None) -> int:
+    """One pass of truncated backpropagation, p and squares in place; the state of each lane runs on over texts end to end. The number of tokens."""
     tokens = np.concatenate(texts) if texts else np.zeros(0, np.int64)
     lanes = max(1, min(LANES, len(tokens) // STEPS))
     length = len(tokens) // lanes
@@ -164,7 +178,8 @@ def train(p: dict, head: Head, texts: list[np.ndarray], rate: float = 0.05) -> i
     rank = np.where(at >= 0, head.rank[at] if len(head.rank) else 0, 0)
     before = np.vstack((np.full((1, lanes), TOP + CLASSES - 1, np.int32), inputs[:-1]))
     state = np.zeros((lanes, STATE), np.float32)
-    squares = {k: np.full(s, 1e-3, np.float32) for k, s in SHAPES.items()}
+    squares = fresh() if squares is None else squares
+    n = STATE
     for lo in range(0, length, STEPS):
         hi = min(length, lo + STEPS)
         kept, states = [], []
@@ -174,20 +189,28 @@ def train(p: dict, head: Head, texts: list[np.ndarray], rate: float = 0.05) -> i
             states.append(state)
         slope = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
         _, back = outputs(p, np.concatenate(states), cls[lo:hi].ravel(), rank[lo:hi].ravel(), slope)
-        back = back.reshape(hi - lo, lanes, STATE)
-        ahead = np.zeros((lanes, STATE), np.float32)
+        back = back.reshape(hi - lo, lanes, n)
+        # What the slope at a state is multiplied by for the gates, the proposal and its reset part: all steps at once.
+        was, gates, proposal, turned = (np.stack(x) for x in zip(*kept, strict=True))
+        renew, reset = gates[..., :n], gates[..., n:]
+        stay, to_proposal = 1 - renew, renew * (1 - proposal**2)
+        factors = np.stack(((proposal - was) * renew * stay, to_proposal * turned * reset * (1 - reset), to_proposal * reset), 2)
+        turn = p["turn"].T.copy()
+        d_turned, ahead = np.empty((hi - lo, lanes, 3 * n), np.float32), np.zeros((lanes, n), np.float32)
         for k in range(hi - lo - 1, -1, -1):
-            was, given, renew, reset, proposal, turned = kept[k]
-            d = back[k] + ahead
-            d_proposal = d * renew * (1 - proposal**2)
-            d_gates = np.concatenate((d * (proposal - was) * renew * (1 - renew), d_proposal * turned * reset * (1 - reset)), 1)
-            np.add.at(slope["input"], given, np.concatenate((d_gates, d_proposal), 1))
-            d_turned = np.concatenate((d_gates, d_proposal * reset), 1)
-            slope["turn"] += was.T @ d_turned
-            ahead = d * (1 - renew) + d_turned @ p["turn"].T
-        n = (hi - lo) * lanes
+            back[k] += ahead
+            np.multiply(factors[k], back[k][:, None], out=d_turned[k].reshape(lanes, 3, n))
+            ahead = back[k] * stay[k] + d_turned[k] @ turn
+        d_turned = d_turned.reshape(-1, 3 * n)
+        slope["turn"] += was.reshape(-1, n).T @ d_turned
+        d_turned[:, 2 * n :] = (back * to_proposal).reshape(-1, n)
+        own = before[lo:hi].ravel()
+        order = np.argsort(own, kind="stable")
+        first = np.flatnonzero(np.diff(own[order], prepend=-1))
+        slope["input"][own[order[first]]] = np.add.reduceat(d_turned[order], first)
+        size = (hi - lo) * lanes
         for k, g in slope.items():
-            g = np.clip(g / n * 32, -5, 5)
+            g = np.clip(g / size * 32, -5, 5)
             squares[k] += g * g
             p[k] -= rate * g / np.sqrt(squares[k])
     return lanes * length
@@ -251,16 +274,16 @@ def language_model(docs: DataFrame, held_out: Column, id_col: str = "doc_id", te
     head = Head(frequent["word"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64), rare_mass)
     sent_head = spark.sparkContext.broadcast(head)
     parameters = flat(initial(head))
-    part = learning.where(F.pmod(F.xxhash64("text"), F.lit(SHARE)) == 0).select("text")
+    part = learning.where(F.pmod(F.xxhash64("id"), F.lit(SHARE)) == 0).select("text")
 
     for _ in range(ROUNDS):
         sent = spark.sparkContext.broadcast(parameters)
 
         def learn(batches: Iterator[dict], sent=sent) -> Iterator[dict]:
-            p, n = shaped(sent.value.copy()), 0
+            p, squares, n = shaped(sent.value.copy()), fresh(), 0
             for batch in batches:
-                tokens, begins = hashed(batch["text"])
-                n += train(p, sent_head.value, [tokens[a:b] for a, b in zip(begins, begins[1:], strict=False)])
+                for lo, hi in text_blocks(batch["text"], SIDE):
+                    n += train(p, sent_head.value, [hashed(batch["text"][lo:hi])[0]], squares=squares)
             if n:
                 values = flat(p).astype(np.float64)
                 yield {"k": np.arange(len(values), dtype=np.int32), "sum": values * n, "n": np.full(len(values), n)}

@@ -55,6 +55,13 @@ def test_model_beats_unigrams_on_held_out_texts(docs, monkeypatch):
     assert sum(r.score for r in rows) > 0.8 * sum(r.base_score for r in rows)
 
 
+def test_every_learning_text_trains(docs, spark):
+    """With the values in production, and texts of which a share by their hash would take none."""
+    frame = docs(corpus(3000, 5)).where("pmod(xxhash64(text), 8) <> 0").repartition(2)
+    rows = [r for r in gru.language_model(frame, fold("doc_id", 10)).collect() if r.held_out]
+    assert sum(r.score for r in rows) > 0.9 * sum(r.base_score for r in rows)
+
+
 def test_nothing(docs):
     assert gru.language_model(docs([]), fold("doc_id", 10)).count() == 0
     (r,) = gru.language_model(docs([None], [None]), fold("doc_id", 10)).collect()
