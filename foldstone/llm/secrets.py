@@ -2,8 +2,11 @@
 
 Two first-order models of characters are trained from labelled samples: the values that the
 patterns find stand for random strings, all other runs of the same alphabet for ordinary
-identifiers. A run of MIN_RUN characters or more that no pattern has found is a secret if the
-log-likelihood ratio of the two models, with letters and digits both in it, is MIN_RATIO or more.
+identifiers. Both lean on a prior for what the samples lack: letters and digits of equal chance for
+random strings, numbers and dates for ordinary runs. A run, or the part of one that no pattern has
+found, is a secret if it has MIN_RUN characters or more and the log-likelihood ratio of the two
+models is MIN_RATIO or more, whichever characters it has. Shorter ones are no secrets, as in the
+patterns.
 Counts are sums over all rows, made per partition, so only alphabet-sized tables meet.
 
 Null texts are empty; repeated rows are scanned each on its own; offsets are code points."""
@@ -27,10 +30,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 #: Least characters of a run that the models may flag, and least log-likelihood ratio in nats.
-MIN_RUN, MIN_RATIO = 20, 10.0
+MIN_RUN, MIN_RATIO = 12, 10.0
 SYMBOLS = 128
 #: Weight of single symbols in a model of pairs.
 LEAN = 50.0
+#: The alphabet of runs and values, and what each prior weighs: of random strings, and of ordinary runs in general and after a digit or a sign.
+SIGNS, DIGITS = "+/_=-.", "0123456789"
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+ANY, PLAIN, NUMBER = 0.5, 0.02, 0.3
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -51,6 +58,17 @@ def _free(start: int, end: int, spans: list[tuple[int, int, int]]) -> bool:
     return all(end <= lo or hi <= start for lo, _, hi in spans)
 
 
+def _parts(start: int, end: int, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """What spans, sorted, leave of a run."""
+    for lo, _, hi in spans:
+        if hi > start and lo < end:
+            if lo > start:
+                yield start, lo
+            start = hi
+    if start < end:
+        yield start, end
+
+
 def _samples(batches: Iterator[dict]) -> Iterator[dict]:
     total = np.zeros((2, SYMBOLS * SYMBOLS), np.int64)
     for batch in batches:
@@ -73,13 +91,24 @@ def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     table = np.zeros((2, SYMBOLS, SYMBOLS))
     for row in counts.collect():  # at most 2 * SYMBOLS ** 2 rows
         table[row.label, row.pair // SYMBOLS, row.pair % SYMBOLS] = row.n
-    letters = [0, *map(ord, "+/_=-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz.")]
+    signs, digits = list(map(ord, SIGNS)), list(map(ord, DIGITS))
+    letters = [0, *signs, *digits, *map(ord, LETTERS)]
     single = np.full((2, 1, SYMBOLS), 1e-9)
     single[:, :, letters] = table.sum(1, keepdims=True)[:, :, letters] + 1
     single /= single.sum(2, keepdims=True)
     # A symbol that was seldom seen leans on the frequencies of single symbols.
-    logs = np.log((table + LEAN * single) / (table.sum(2, keepdims=True) + LEAN))
-    return logs[1] - logs[0]
+    ordinary, random = (table + LEAN * single) / (table.sum(2, keepdims=True) + LEAN)
+    even = np.zeros(SYMBOLS)
+    even[letters[1:]] = 0.97 / (len(DIGITS) + len(LETTERS))
+    even[signs] = 0.03 / len(SIGNS)
+    plain = np.zeros(SYMBOLS)
+    plain[letters[1:]] = 1 / len(letters[1:])
+    number = np.zeros(SYMBOLS)
+    number[signs + digits] = 1 / (len(SIGNS) + len(DIGITS))
+    random = (1 - ANY) * random + ANY * even
+    ordinary = (1 - PLAIN) * ordinary + PLAIN * plain
+    ordinary[signs + digits] = (1 - NUMBER) * ordinary[signs + digits] + NUMBER * number
+    return np.log(np.maximum(random, 1e-12)) - np.log(np.maximum(ordinary, 1e-12))
 
 
 def ratio(run: str, table: np.ndarray) -> float:
@@ -91,9 +120,8 @@ def all_spans(text: str, table: np.ndarray) -> list[tuple[int, int, int]]:
     spans = base_spans(text)
     more = []
     for m in RUN.finditer(text):
-        run = m[0]
-        if len(run) >= MIN_RUN and not run.isalpha() and any(map(str.isdigit, run)) and any(map(str.isalpha, run)) and _free(*m.span(), spans) and ratio(run, table) >= MIN_RATIO:
-            more.append((m.start(), 3, m.end()))
+        if m.end() - m.start() >= MIN_RUN:
+            more += [(lo, 3, hi) for lo, hi in _parts(*m.span(), spans) if hi - lo >= MIN_RUN and ratio(text[lo:hi], table) >= MIN_RATIO]
     return sorted(spans + more)
 
 

@@ -50,3 +50,20 @@ def test_models_find_random_strings_of_no_known_form(docs):
     clean = redacted(docs(texts)).orderBy("doc_id").collect()
     assert clean[0].text.startswith("[SECRET] ") and clean[-1].text == texts[-1]
     assert redacted(docs(texts)).columns == docs(texts).columns
+
+
+def test_models_judge_short_tokens_letters_and_rests_of_runs(docs):
+    r = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    draw = lambda n, of=letters + "0123456789": "".join(r.choice(of) for _ in range(n))
+    names = "get_user_profile set_window_width HttpRequestHandler parse_config_file default_timeout_seconds max_retry_count_2 BaseModelAdapterV2 internationalization 2026-11-28T01:00 ----------------".split()
+    texts = [f"secret={draw(30)} " + " ".join(r.choice(names) for _ in range(200)) for _ in range(300)]
+    keys = [draw(12 + k % 8) for k in range(40)] + [draw(24, letters) for _ in range(20)]
+    texts += [f"pwd: {k} {' '.join(names)}" for k in keys]
+    texts += [f"see {draw(20, letters)}Z{'0123456789abcdef'}Z{draw(20, letters)} {' '.join(names)}" for _ in range(10)]
+    texts += [" ".join(names)] * 5
+    got = [x.text for x in redacted(docs(texts)).orderBy("doc_id").collect()]
+    missed = [k for i, k in enumerate(keys) if got[300 + i] != f"pwd: [SECRET] {' '.join(names)}"]
+    assert len(missed) <= 3, missed
+    assert sum(t == f"see [SECRET][SECRET][SECRET] {' '.join(names)}" for t in got[360:370]) >= 9
+    assert got[370:] == texts[370:]
