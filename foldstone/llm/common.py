@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
+from xxhash import xxh3_64_digest
 
 #: White space of every word definition in this subpackage: space and bytes 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -22,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is named, as in tests."""
+    """The shared folder that the cluster names; a local one only where none is named and all runs on one machine, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="foldstone-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -68,12 +72,9 @@ def text_blocks(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, i
         yield start, len(texts)
 
 
-_BYTES = np.arange(256)
-_LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
-_BLANK = (_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13))
-#: An odd multiplier of a rolling hash modulo 2**64, and its inverse.
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: An odd multiplier of rolling hashes modulo 2**64, and the seed of words' hashes.
+_BASE, _SEED = 0x9E3779B97F4A7C15, 20_240_229
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -85,41 +86,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_LETTER = mix(np.arange(1, 257, dtype=np.uint64))
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-def word_places(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of all texts (A-Z lower-cased), where words start and end in them, and the texts' word offsets."""
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    ends_of = np.cumsum([len(r) + 1 for r in raw])
-    data = _LOWER[np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)]
-    inside = np.zeros(len(data) + 1, np.int8)
-    inside[1:] = ~_BLANK[data]
-    edge = np.diff(inside)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    return data, starts, ends, np.concatenate(([0], np.searchsorted(starts, ends_of)))
-
-
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    rolled = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_LETTER[data] * _powers(_BASE, len(data)), dtype=np.uint64, out=rolled[1:])
-    own = (rolled[ends] - rolled[starts]) * _powers(_INVERSE, len(data))[starts]
-    return mix(own + (ends - starts).astype(np.uint64))
+def word_parts(text: str, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """A text's words, A-Z lower-cased, as bytes; a long text in parts that end at white space."""
+    data = text.encode("utf-8", "surrogatepass").lower()  # of bytes, so only A-Z change
+    at = 0
+    while at < len(data):
+        blank = _BLANK.search(data, at + size)
+        end = blank.end() if blank else len(data)
+        yield data[at:end].split()  # at space and bytes 9 to 13
+        at = end
+
+
+def word_values(texts: Iterable[str], values: Callable[[list[bytes]], np.ndarray], last: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """values() of the words of all texts end to end, last after each text, and the places where each text begins."""
+    made, held, sizes = [values([])], [], [0]
+    for text in texts:
+        n = 0
+        for words in word_parts(text):
+            held += words
+            n += len(words)
+            if len(held) > 1 << 17:
+                made.append(values(held))
+                held = []
+        if last is not None:
+            held.append(last)
+            n += 1
+        sizes.append(n)
+    made.append(values(held))
+    return np.concatenate(made), np.cumsum(sizes)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word's bytes (XXH3)."""
+    return np.frombuffer(b"".join([xxh3_64_digest(w, _SEED) for w in words]), ">u8").astype(np.uint64)
 
 
 def shingle_sets(texts: list[str], size: int) -> Iterator[np.ndarray]:
     """The sorted distinct hashes of each text's size-word shingles; fewer words make one, none an empty set."""
     for a, b in text_blocks(texts):
-        data, starts, ends, at = word_places(texts[a:b])
-        words = word_hashes(data, starts, ends)
+        words, at = word_values(texts[a:b], word_hashes)
         rolled = np.zeros(max(0, len(words) - size + 1), np.uint64)
         for k in range(size):
             rolled = rolled * np.uint64(_BASE) + words[k : k + len(rolled)]
