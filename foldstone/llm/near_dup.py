@@ -15,8 +15,13 @@ partner may lack plus one, so classes that share only a common passage never mee
 parities bounds from below by how many shingles two sets differ. The estimate of the union's sketch filters pairs,
 and exact Jaccard on the full sets decides.
 
-Nulls and texts without words have an empty set and no links. Rows that share an id count as one
-document. A row without id takes part in no component and is not kept."""
+Only texts of pairs that the sketches leave are joined with them, by the ids that such pairs have.
+
+Nulls and texts without words have an empty set and no links. Rows that share an id are one document,
+which has the links of all its texts: they come out in one component, each with its own n_shingles.
+A row without id takes part in no component and is not kept. Repeated rows each come out. Very long
+texts are cut into words by parts. Of documents with equal sets the smallest id stands for all; an
+empty table gives no rows; other columns of docs play no part, whatever their names."""
 
 from __future__ import annotations
 
@@ -124,6 +129,7 @@ def near_duplicates(docs: DataFrame, shingle: int, num: int, den: int = 100, id_
     made = staged(made.withColumn("row", F.monotonically_increasing_id()), "sketches")
 
     light = made.select("id", "n", "c1", "c2")
+    repeated = staged(light.where("id is not null").groupBy("id").count().where("count > 1").select("id"), "repeated")
     first = made.where("n > 0 and id is not null").groupBy("c1", "c2", "n").agg(F.min(F.struct("id", "row")).alias("first"))
     classes = staged(first.select("c1", "c2", "n", F.col("first.id").alias("rep"), F.col("first.row").alias("row")), "classes")
     reps = made.join(classes.select("row", "rep"), "row").select("rep", "n", "sketch", "keys")
@@ -135,23 +141,32 @@ def near_duplicates(docs: DataFrame, shingle: int, num: int, den: int = 100, id_
     lists = staged(lists.join(shared, "key").select("key", "rep", "n", "lead"), "lists")
 
     sketches = reps.select("rep", "n", "sketch")
-    whole = classes.select("rep").join(texts, F.col("rep") == F.col("id")).select("rep", "text")
+
+    def held(ids: DataFrame, column: str) -> DataFrame:
+        """The texts of the ids in a column; a written table, so Spark broadcasts it where it is small."""
+        wanted = staged(ids.select(F.col(column).alias("id")).distinct(), "wanted")
+        return staged(texts.join(wanted, "id", "left_semi"), "texts")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         a, b = (sketches.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
         near = pairs.join(a, "a").join(b, "b").where(f"least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num}")
         union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, SKETCH)
         both = F.array_intersect(union, F.array_intersect("s_a", "s_b"))
-        near = near.where(F.size(both) >= (num / den - MARGIN) * F.size(union)).select("a", "b")
-        near = near.join(whole.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
-        near = near.join(whole.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
-        return staged(mapped(near, _judge(shingle, num, den), f"a {id_type}, b {id_type}"), name)
+        near = staged(near.where(F.size(both) >= (num / den - MARGIN) * F.size(union)).select("a", "b"), "near")
+        own = held(near.select("a").union(near.select("b")), "a")
+        with_texts = near.join(own.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+        with_texts = with_texts.join(own.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+        return staged(mapped(with_texts, _judge(shingle, num, den), f"a {id_type}, b {id_type}").distinct(), name)
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     tested = staged(lists.where("rep <> lead").groupBy(F.col("rep").alias("b")).agg(F.min("lead").alias("a")).select("a", "b"), "pairs")
-    links = verified(tested, "links")
+    # The classes of one id are linked, whatever their texts.
+    several = light.where("n > 0").join(repeated, "id", "left_semi").join(classes.select("c1", "c2", "n", "rep"), ["c1", "c2", "n"])
+    several = staged(several.select("id", "rep").distinct(), "several")
+    lead = several.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a <> last")
+    links = verified(tested, "links").union(several.join(lead, "id").select("a", F.col("rep").alias("b")))
     roots = components(links)
 
     def open_lists(lists: DataFrame) -> DataFrame:
@@ -167,8 +182,8 @@ def near_duplicates(docs: DataFrame, shingle: int, num: int, den: int = 100, id_
     links, tested = links.union(verified(pairs, "links")), tested.union(pairs)
     roots = components(links)
 
-    rest = open_lists(lists).select("rep", "root", "n").distinct()
-    rest = staged(rest.join(whole, "rep"), "rest")
+    rest = staged(open_lists(lists).select("rep", "root", "n").distinct(), "open")
+    rest = staged(rest.join(held(rest, "rep"), F.col("rep") == F.col("id")).select("rep", "root", "n", "text"), "rest")
     counts = np.zeros(ORDER, np.int64)
     for row in mapped(rest.select("text"), _counter(shingle), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[row.bucket] = row.n
@@ -184,7 +199,10 @@ def near_duplicates(docs: DataFrame, shingle: int, num: int, den: int = 100, id_
     roots = components(links.union(more))
 
     found = classes.select("c1", "c2", F.col("n").alias("m"), "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    found = found.select("c1", "c2", "m", F.coalesce("root", "rep").alias("component"))
-    out = light.join(found, (light.c1 == found.c1) & (light.c2 == found.c2) & (light.n == found.m), "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    found = staged(found.select("c1", "c2", "m", "rep", F.coalesce("root", "rep").alias("component")), "found")
+    out = light.join(found.drop("rep"), (light.c1 == found.c1) & (light.c2 == found.c2) & (light.n == found.m), "left")
+    # A document with an empty text beside others is in their component.
+    whole = several.join(found.select("rep", "component"), "rep").groupBy("id").agg(F.min("component").alias("whole"))
+    out = out.join(whole, "id", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("whole", "component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

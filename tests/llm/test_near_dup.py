@@ -91,6 +91,19 @@ def test_repeated_and_missing_ids(docs):
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in got) == [(-1, -1, False), (7, 7, True), (7, 7, True), (7, 7, True)]
 
 
+def test_texts_of_one_id_are_one_document(docs):
+    a, b, c = "a b c d e f", "u v w x y z", "q r s"
+    got = near_duplicates(docs([a, b, a, b, "", c, c, ""], [7, 7, 9, 3, 7, 12, 11, 12]), 3, 85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == [(3, 4, 3, True), (7, 0, 3, False), (7, 4, 3, False), (7, 4, 3, False), (9, 4, 3, False), (11, 1, 11, True), (12, 0, 11, False), (12, 1, 11, False)]
+
+
+def test_words_that_a_polynomial_hash_confuses(docs):
+    """Words by the Thue-Morse rule and its mirror."""
+    a, b = ("".join("ab"[(bin(i).count("1") + k) % 2] for i in range(1024)) for k in (0, 1))
+    got = near_duplicates(docs([a, b, f"{a} {b} {a}", f"{b} {a} {b}"]), 3, 85).collect()
+    assert all(r.kept and r.component_id == r.doc_id for r in got)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(300, 299), (299, 298), (5, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
