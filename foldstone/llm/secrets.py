@@ -9,7 +9,9 @@ models is MIN_RATIO or more, whichever characters it has. Shorter ones are no se
 patterns.
 Counts are sums over all rows, made per partition, so only alphabet-sized tables meet.
 
-Null texts are empty; repeated rows are scanned each on its own; offsets are code points."""
+Null texts are empty; an empty table gives no rows; repeated rows are scanned each on its own; very
+long texts are swept once, spans and runs together. Of spans that begin together the kinds' order
+decides which comes first. Offsets are code points. Other columns of docs play no part."""
 
 from __future__ import annotations
 
@@ -54,19 +56,28 @@ def _pairs(runs: list[str]) -> np.ndarray:
     return np.bincount(data[:-1] * SYMBOLS + data[1:], minlength=SYMBOLS * SYMBOLS) if runs else np.zeros(SYMBOLS * SYMBOLS, np.int64)
 
 
-def _free(start: int, end: int, spans: list[tuple[int, int, int]]) -> bool:
-    return all(end <= lo or hi <= start for lo, _, hi in spans)
-
-
-def _parts(start: int, end: int, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """What spans, sorted, leave of a run."""
+def _rests(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, bool]]:
+    """What spans, sorted by start, leave of each run, and whether that is a whole run; one sweep over both."""
+    covered: list[list[int]] = []
     for lo, _, hi in spans:
-        if hi > start and lo < end:
-            if lo > start:
-                yield start, lo
-            start = hi
-    if start < end:
-        yield start, end
+        if covered and lo <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], hi)
+        else:
+            covered.append([lo, hi])
+    at = 0
+    for m in RUN.finditer(text):
+        start, end = m.span()
+        while at < len(covered) and covered[at][1] <= start:
+            at += 1
+        k, whole = at, True
+        while k < len(covered) and covered[k][0] < end:
+            whole = False
+            if covered[k][0] > start:
+                yield start, covered[k][0], False
+            start = covered[k][1]
+            k += 1
+        if start < end:
+            yield start, end, whole
 
 
 def _samples(batches: Iterator[dict]) -> Iterator[dict]:
@@ -78,7 +89,7 @@ def _samples(batches: Iterator[dict]) -> Iterator[dict]:
                 if spans:
                     values = [ASSIGN.match(text, lo)[2] if kind == 0 else text[lo:hi] for lo, kind, hi in spans]
                     total[1] += _pairs(values)
-                    total[0] += _pairs([m[0] for m in RUN.finditer(text) if _free(*m.span(), spans)])
+                    total[0] += _pairs([text[lo:hi] for lo, hi, whole in _rests(text, spans) if whole])
                 else:
                     total[0] += _pairs(RUN.findall(text))
     label, pair = np.nonzero(total)
@@ -118,10 +129,7 @@ def ratio(run: str, table: np.ndarray) -> float:
 
 def all_spans(text: str, table: np.ndarray) -> list[tuple[int, int, int]]:
     spans = base_spans(text)
-    more = []
-    for m in RUN.finditer(text):
-        if m.end() - m.start() >= MIN_RUN:
-            more += [(lo, 3, hi) for lo, hi in _parts(*m.span(), spans) if hi - lo >= MIN_RUN and ratio(text[lo:hi], table) >= MIN_RATIO]
+    more = [(lo, 3, hi) for lo, hi, _ in _rests(text, spans) if hi - lo >= MIN_RUN and ratio(text[lo:hi], table) >= MIN_RATIO]
     return sorted(spans + more)
 
 

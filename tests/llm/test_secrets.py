@@ -1,8 +1,11 @@
 import hashlib
 import random
 import re
+import time
 
-from foldstone.llm.secrets import redacted, secrets
+import numpy as np
+
+from foldstone.llm.secrets import MIN_RATIO, MIN_RUN, RUN, all_spans, base_spans, ratio, redacted, secrets
 
 
 def brute(text):
@@ -67,3 +70,32 @@ def test_models_judge_short_tokens_letters_and_rests_of_runs(docs):
     assert len(missed) <= 3, missed
     assert sum(t == f"see [SECRET][SECRET][SECRET] {' '.join(names)}" for t in got[360:370]) >= 9
     assert got[370:] == texts[370:]
+
+
+def test_sweep_is_the_plain_version():
+    """Characters that no base span has, in runs, judged one by one."""
+    r = random.Random(5)
+    table = np.random.default_rng(1).normal(0, 3, (128, 128))
+    for _ in range(400):
+        text = "".join(r.choice(["token=", "ab12", "AKIA", "Q" * 9, " ", "0123456789abcdef", "-", "zz", "Xy/", ".", "é", "\n"]) for _ in range(r.randint(0, 30)))
+        spans = base_spans(text)
+        free = [not any(lo <= i < hi for lo, _, hi in spans) for i in range(len(text))]
+        want = []
+        for m in RUN.finditer(text):
+            at = m.start()
+            while at < m.end():
+                end = at
+                while end < m.end() and free[end] == free[at]:
+                    end += 1
+                if free[at] and end - at >= MIN_RUN and ratio(text[at:end], table) >= MIN_RATIO:
+                    want.append((at, 3, end))
+                at = end
+        assert [s for s in all_spans(text, table) if s[1] == 3] == want
+
+
+def test_checksum_lists_take_linear_time():
+    table, r = np.zeros((128, 128)), random.Random(6)
+    text = "\n".join("%064x  file%d" % (r.getrandbits(256), i) for i in range(27_000))  # 2 MB
+    began = time.time()
+    assert len(all_spans(text, table)) == 27_000
+    assert time.time() - began < 6
