@@ -26,6 +26,8 @@ from .common import mapped, staged
 
 #: Ids in a sequence, sequences in a shard, rounds of the network.
 LENGTH, SHARD, ROUNDS = 256, 1024, 6
+#: Bytes of records that a range partition holds, about.
+PART = 128 << 20
 #: The public byte-level vocabulary's end mark.
 END = 50256
 
@@ -38,8 +40,9 @@ def permuted(index: Column, count: int, key: int) -> Column:
     """A keyed permutation of 0..count-1, as one expression.
 
     rows * columns exceeds the count by less than rows, and a walk takes at most one step more than
-    that, so the bound on steps is exact for small counts; for large ones a step leaves the range
-    with a chance below 1 / rows."""
+    that. A step leaves the range with a chance below 1 / rows, so 64 steps are far more than any walk
+    of a large count takes; a walk that was not at its end by then would fail the job, and no slot
+    beyond the count is ever given."""
     rows = max(1, int(np.ceil(np.sqrt(count))))
     columns = -(-max(1, count) // rows)
     steps = min(rows * columns - count + 1, 64)
@@ -56,7 +59,8 @@ def permuted(index: Column, count: int, key: int) -> Column:
 
     walk = once(index.cast("long"))
     if steps > 1:
-        walk = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), walk, lambda x, _: F.when(x < count, x).otherwise(once(x)))
+        lost = F.raise_error(F.lit("a walk of the permutation has not come back to the range")).cast("long")
+        walk = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), walk, lambda x, _: F.when(x < count, x).otherwise(once(x)), lambda x: F.when(x < count, x).otherwise(lost))
     return walk
 
 
@@ -96,9 +100,11 @@ def shards(rows: DataFrame, key: int, length: int = LENGTH, per_shard: int = SHA
     count = rows.count()
     placed = rows.join(offsets, "part").withColumn("slot", permuted(F.col("offset") + F.col("pos"), count, key))
     placed = placed.select("slot", (F.col("slot") / per_shard).cast("long").alias("shard"), "n", "record")
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = placed.repartitionByRange(parts, "shard").sortWithinPartitions("slot")
-    size = stride(length)
+    size, of_table = stride(length), max(1, -(-count // per_shard))
+    # Ranges of whole shards by arithmetic, so nothing is sampled and slots are computed once.
+    parts = min(of_table, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count * size // PART)))
+    dealt = placed.withColumn("range", F.expr(f"cast(shard * {parts} div {of_table} as int)")).repartitionById(parts, "range").sortWithinPartitions("slot")
+    dealt = dealt.select("slot", "shard", "n", "record")
 
     def pack(batches: Iterator[dict]) -> Iterator[dict]:
         held: dict | None = None
