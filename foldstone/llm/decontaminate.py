@@ -1,14 +1,17 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts and items are normalised: lower case, every run of other than letters and digits is one
-space. An item of m characters may differ from a passage by budget = max(1, m * rate) edits. Cut
-into budget + 1 pieces, at least one piece must occur in the passage unchanged (pigeonhole); an
-automaton of all pieces finds those in one pass over a text, and Myers' bit-parallel distance
-verifies the stretch around each hit. Items are handled in blocks of bounded size, each block
-against all rows, so the automaton that a task holds stays small however many items there are.
-
-Null and empty texts match nothing; items without a letter or digit are never matched; repeated
-items and rows are reported each on its own."""
+space. An item of m characters may differ from a passage by budget edits: m * rate, at least 1 and at
+most m // 8 - 1, so that a piece has 8 characters or more; items of fewer than 16 characters must
+occur unchanged. Cut into budget + 1 pieces, at least one piece must occur in the passage unchanged
+(pigeonhole); an automaton of all pieces finds those in one pass over a text, and Myers'
+bit-parallel distance verifies the stretch around each hit. Items are handled in blocks of BLOCK
+characters (an item is never cut), each block against all rows, so the automaton that a task holds
+stays small however many items there are; a benchmark of up to BLOCK characters takes one pass.
+
+Null and empty texts match nothing, nor do items without a letter or digit; empty tables give no
+rows. Of several passages the least distance counts. Repeated items and rows are reported each on its
+own. Very long texts are searched whole. Other columns of both tables play no part."""
 
 from __future__ import annotations
 
@@ -16,13 +19,14 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mapped
 
-#: Items in one automaton.
-BLOCK = 4096
+#: Characters of the items in one automaton, at most (or one item).
+BLOCK = 2 << 20
 #: Edits allowed per normalised character of an item.
 RATE = 0.08
 
@@ -33,6 +37,11 @@ def normalised(text: str | None) -> str:
     return _OTHER.sub(" ", (text or "").lower()).strip()
 
 
+def allowed(size: int, rate: float = RATE) -> int:
+    """The edit budget of an item by its normalised characters."""
+    return min(max(1, int(size * rate)), max(0, size // 8 - 1))
+
+
 def myers(pattern: str, text: str) -> int:
     """The least edit distance of pattern to any stretch of text (Myers 1999), by big integers as bit vectors."""
     m = len(pattern)
@@ -69,7 +78,7 @@ class Matcher:
         pieces: dict[str, list[tuple[int, int]]] = {}
         for i, item in enumerate(self.items):
             m = len(item)
-            budget = min(max(1, int(m * rate)), max(0, m // 8 - 1))
+            budget = allowed(m, rate)
             self.budgets.append(budget)
             cuts = [m * k // (budget + 1) for k in range(budget + 2)]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
@@ -109,17 +118,28 @@ class Matcher:
         return out
 
 
+def _blocks(items: DataFrame) -> Iterator[list[tuple]]:
+    """Items(item, text) in blocks, at least one; the driver holds one at a time."""
+    held: list[tuple] = []
+    size = made = 0
+    for row in items.toLocalIterator():
+        if held and size + len(row["text"]) > BLOCK:
+            yield held
+            held, size, made = [], 0, made + 1
+        held.append((row["item"], row["text"]))
+        size += len(row["text"])
+    if held or not made:
+        yield held
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = RATE) -> DataFrame:
     """(id_col, item_col, distance) for each row of docs and each item that it holds within the item's edit budget."""
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     known = items.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).where("text is not null")
     schema = f"id {dict(texts.dtypes)['id']}, item {dict(known.dtypes)['item']}, distance int"
-    held: list[tuple[int, str]] = []
-    parts: list[DataFrame] = []
 
-    def against(block: list[tuple[int, str]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(block)
+    def against(block: list[tuple]) -> DataFrame:
+        sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def match(batches: Iterator[dict]) -> Iterator[dict]:
             matcher = Matcher(sent.value, rate)
@@ -129,12 +149,22 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
         return mapped(texts, match, schema)
 
-    for row in known.toLocalIterator():  # a block at a time
-        held.append((row["item"], row["text"]))
-        if len(held) == BLOCK:
-            parts.append(against(held))
-            held = []
-    if held or not parts:
-        parts.append(against(held))
-    out = reduce(DataFrame.union, parts)
+    out = reduce(DataFrame.union, map(against, _blocks(known)))
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "distance")
+
+
+def _cleaner(sent, rate: float):
+    @F.pandas_udf("boolean")
+    def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(sent.value, rate)
+        for texts in parts:
+            yield texts.map(lambda t: not matcher.found(normalised(t)))
+
+    return clean
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_text: str = "text", rate: float = RATE) -> DataFrame:
+    """The rows of docs that hold no item, with their own columns; a filter, so no text is shuffled and ids don't matter."""
+    for block in _blocks(items.select(F.lit(0).alias("item"), F.col(item_text).alias("text")).where("text is not null")):
+        docs = docs.where(_cleaner(docs.sparkSession.sparkContext.broadcast(block), rate)(F.col(text_col)))
+    return docs

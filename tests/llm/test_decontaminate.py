@@ -3,7 +3,8 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from foldstone.llm.decontaminate import RATE, leaks, myers, normalised
+from foldstone.llm import decontaminate
+from foldstone.llm.decontaminate import RATE, allowed, leaks, myers, normalised, without_leaks
 
 from .conftest import prose
 
@@ -45,7 +46,7 @@ def test_passages_with_edits(spark, docs, odd):
     assert leaks(docs(texts), table.where("false")).count() == 0
 
 
-def test_every_match_of_brute_force(spark, docs):
+def test_every_match_of_brute_force(spark, docs, monkeypatch):
     r = random.Random(8)
     items = [prose(r, 6) for _ in range(12)]
     texts = []
@@ -64,3 +65,18 @@ def test_every_match_of_brute_force(spark, docs):
             if found <= min(max(1, int(len(n) * RATE)), len(n) // 8 - 1):
                 want[d, i] = found
     assert got == want
+    monkeypatch.setattr(decontaminate, "BLOCK", 100)  # several blocks
+    assert {(x.doc_id, x.item_id): x.distance for x in leaks(docs(texts), table).collect()} == want
+    kept = without_leaks(docs(texts, [None] * 30 + [5] * 30), table)
+    assert kept.columns == docs(texts).columns
+    assert sorted(r.text for r in kept.collect()) == sorted(t for d, t in enumerate(texts) if not any((d, i) in want for i in range(12)))
+
+
+def test_budgets():
+    assert [allowed(n) for n in (1, 8, 15, 16, 24, 25, 100, 200)] == [0, 0, 0, 1, 1, 2, 8, 16]
+
+
+def test_short_items_must_occur_unchanged(spark, docs):
+    table = spark.createDataFrame([(1, "tiny thing"), (1, "tiny thing"), (2, "a rather longer one")], "item_id long, text string")
+    rows = leaks(docs(["xx TINY  thing!", "tiny thjng", "a rother longer one", None, "", "xx TINY  thing!"]), table).collect()
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in rows) == [(0, 1, 0), (0, 1, 0), (2, 2, 1), (5, 1, 0), (5, 1, 0)]
