@@ -34,25 +34,45 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Folders that this process has staged and not dropped, in order.
+_STAGED: list[str] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back, which cuts its lineage.
 
-    The folder goes when the session ends."""
+    The folder goes when the session ends, or before by drop_staged or drop_since."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/foldstone-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    _STAGED.remove(path)
+
+
 def drop_staged(df: DataFrame) -> None:
-    """Delete a table that staged() made, once nothing reads it any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/foldstone-" in path:
-            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    """Delete the table that staged() made df of, once nothing reads it any more."""
+    own = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in df.inputFiles()}
+    for path in [p for p in _STAGED if p.rsplit("/", 1)[-1] in own]:
+        _drop(df.sparkSession, path)
+
+
+def staged_so_far() -> int:
+    return len(_STAGED)
+
+
+def drop_since(spark: SparkSession, count: int, but: DataFrame) -> None:
+    """Delete what was staged since there were count tables, but for the one that is read as but."""
+    own = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in but.inputFiles()}
+    for path in [p for p in _STAGED[count:] if p.rsplit("/", 1)[-1] not in own]:
+        _drop(spark, path)
 
 
 def fold_mod(column: Column, n: int) -> Column:

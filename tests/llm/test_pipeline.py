@@ -1,12 +1,15 @@
+import random
 import re
 
 import pytest
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
+from foldstone.llm import common  # noqa: E402
 from foldstone.llm.decontaminate import leaks  # noqa: E402
 from foldstone.llm.queries import ORACLES, QUERIES  # noqa: E402
 
+from .conftest import prose  # noqa: E402
 from .test_near_dup import brute as groups  # noqa: E402
 from .test_quality import brute as measures  # noqa: E402
 from .test_secrets import brute as found  # noqa: E402
@@ -55,6 +58,27 @@ def test_names():
     assert [n for n, _ in pipeline.STAGES] == ["quality", "near_dedup", "decontamination", "secrets", "pieces"]
 
 
+def test_rows_without_an_id_and_with_the_same(spark, docs):
+    """Each row is judged by its own text; of equal texts the smallest id stays; all columns are carried."""
+    r = random.Random(3)
+    a, b, c, d = (" ".join(prose(r, 1) + str(k) for k in range(60)) for _ in range(4))
+    rows = [(7, a), (7, b), (3, a), (None, c), (None, c), (5, d), (5, d), (None, d), (8, ""), (8, None), (None, "")]
+    frame = docs([t for _, t in rows], [i for i, _ in rows])
+    kept = pipeline.near_dedup(spark, frame, SF)
+    assert kept.columns == frame.columns
+    got = sorted(((x.doc_id, x.text) for x in kept.collect()), key=str)
+    assert got == sorted([(7, b), (3, a), (None, c), (5, d), (8, ""), (8, None), (None, "")], key=str)
+    for name, stage in pipeline.STAGES[2:4]:
+        after = stage(spark, frame, SF)
+        assert after.columns == frame.columns and after.count() == len(rows), name
+
+
+def test_scratch_tables_go_early(spark):
+    before = common.staged_so_far()
+    pipeline.run(spark, SF).collect()
+    assert not any(name in path for path in common._STAGED[before:] for name in ("quality", "near_dedup", "decontamination", "sketches"))
+
+
 def test_odd_documents(spark, docs, odd):
     frame = docs(odd).select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in pipeline.STAGES:
