@@ -1,23 +1,35 @@
-"""URL filters: fixed host and path rules, and association rules that FP-growth mines from labels.
+"""URL filters: fixed host and path rules, and association rules that pattern growth mines from labels.
 
 Urls that a fixed rule decides are the labels. Their tokens (labels of the host with their place,
-parts of the path, names of the query) and the label are the items of a transaction; FP-growth finds
-frequent combinations, and rules from tokens to the label block are kept if their support and
-confidence reach the bounds, they say more than the share of blocked labels does, and no more general
-rule is as sure. An inverted index from token to
-rules, with each rule's size, finds the rules all of whose tokens a url has. Any such rule blocks.
+parts of the path, names of the query) and the label make a basket. Frequent combinations are grown
+as FP-growth grows them: equal baskets become one with its number (which is what the tree is for),
+and a combination is extended, a level at a time, by the frequent tokens that come after its last one
+in the baskets that hold it. Spark's own FPGrowth can't be used: it has no bound on length and lists
+2**k sets for k tokens that stand together in urls, as the names of long queries do. Here a
+combination grows only up to TOKENS, and only if a longer one can still say more: not if it is
+sure already, nor if a part of it stands in the same baskets (a longer one then has the same baskets
+as a shorter one). Both leave out redundant rules alone, so the rules are exactly those of all
+combinations of up to TOKENS tokens.
+
+Rules from tokens to the label block are kept if their support and confidence reach the bounds, they
+say more than the share of blocked labels does, and no more general rule is as sure. There is no
+bound on their number: they are a table, with an inverted index from each rule's rarest token. A
+url meets the rules of its tokens by a join, and any rule whose tokens it all has blocks it.
 
 Null urls and urls without :// have empty host and path, match no fixed rule and have no tokens, so
-they are allowed. Repeated rows are judged each on its own."""
+they are allowed. Of fixed rules that fit, the longest wins; two rules of one length can't both fit
+unless they are the same text, of which the first listed wins. Repeated rows are judged each on its
+own; very long urls are read whole; an empty table gives no rows. Other columns play no part."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 #: (verdict, host, path), fixed by contract; a rule's text is host + path.
 RULES: tuple[tuple[str, str, str], ...] = (
     ("allow", "com", "/"),
@@ -28,8 +40,8 @@ RULES: tuple[tuple[str, str, str], ...] = (
 )
 #: Least share of transactions, confidence and lift of a mined rule, and most tokens in it.
 SUPPORT, CONFIDENCE, LIFT, TOKENS = 0.005, 0.8, 1.05, 4
-#: Mined rules that are kept at most, the surest first; far more than SUPPORT and TOKENS let through in practice.
-MINED = 20_000
+#: Least number of transactions of a mined rule, whatever their share: below it a share is chance.
+LEAST = 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -45,7 +57,7 @@ def parts(url: Column) -> tuple[Column, Column]:
 def fitting(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> tuple[Column, Column]:
     """The longest rule that fits, and its verdict; null if none does."""
     rule = verdict = F.lit(None).cast("string")
-    for what, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):  # longer rules are asked first
+    for what, h, p in sorted(reversed(rules), key=lambda r: len(r[1] + r[2])):  # longer rules are asked first
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         rule, verdict = F.when(fits, h + p).otherwise(rule), F.when(fits, what).otherwise(verdict)
     return rule, verdict
@@ -60,41 +72,55 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(labels, folders, fields)))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[tuple[tuple[str, ...], float, float]]:
-    """(tokens, confidence, support) of the rules towards block, from (tokens, verdict); pruned.
-
-    Items below the support are no part of a frequent set, so they are taken out before mining."""
-    n = labelled.count()
-    if not n:
-        return []
-    counts = labelled.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") >= support * n)
-    usual = [r.t for r in counts.collect()]  # at most the mean number of tokens / support
-    known = F.array(*map(F.lit, usual)) if usual else F.array().cast("array<string>")
-    baskets = labelled.select(F.concat(F.array_intersect("tokens", known), F.array(F.concat(F.lit("="), "verdict"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    rules = model.associationRules.where((F.col("consequent")[0] == "=block") & (F.size("antecedent") <= TOKENS) & (F.col("lift") >= LIFT))
-    rules = rules.where(~F.array_contains("antecedent", "=allow")).orderBy(F.desc("confidence"), F.desc("support"), F.size("antecedent"), F.array_sort("antecedent").cast("string")).limit(MINED)
-    kept: list[tuple[tuple[str, ...], float, float]] = []
-    for r in sorted(rules.collect(), key=lambda r: (len(r.antecedent), -r.confidence, sorted(r.antecedent))):
-        own = frozenset(r.antecedent)
-        if not any(own >= frozenset(k) and c >= r.confidence for k, c, _ in kept):
-            kept.append((tuple(sorted(own)), r.confidence, r.support))
-    return kept
-
-
-def matched(url_tokens: Column, rules: Sequence[tuple[tuple[str, ...], float, float]]) -> Column:
-    """Whether a rule fires, by an inverted index from token to rule numbers."""
-    index: dict[str, list[int]] = {}
-    for i, (own, _, _) in enumerate(rules):
-        for t in own:
-            index.setdefault(t, []).append(i)
-    if not index:
-        return F.lit(False)
-    lists = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for pair in index.items() for x in pair))
-    sizes = F.array(*(F.lit(len(own)) for own, _, _ in rules))
-    hits = F.array_sort(F.flatten(F.transform(F.filter(url_tokens, lambda t: F.map_contains_key(lists, t)), lambda t: lists[t])))
-    # In sorted hits, a rule of size s fires where the place s - 1 before holds the same rule.
-    return F.exists(F.transform(hits, lambda r, i: F.coalesce(F.get(hits, i - F.get(sizes, r) + 1) == r, F.lit(False))), lambda x: x)
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST) -> DataFrame:
+    """(tokens, confidence, support) of the rules towards block, from (tokens, verdict); tokens in order."""
+    spark = labelled.sparkSession
+    blocked = F.sum(F.when(F.col("verdict") == "block", F.col("n")).otherwise(0))
+    baskets = labelled.groupBy("tokens", "verdict").agg(F.count("*").alias("n")).groupBy("tokens").agg(F.sum("n").alias("n"), blocked.alias("b"))
+    baskets = staged(baskets, "baskets")
+    whole = baskets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
+    empty = spark.createDataFrame([], "tokens array<string>, confidence double, support double")
+    if not whole["b"]:
+        return empty
+    enough = max(least, support * whole["n"])
+    sure = max(confidence, LIFT * whole["b"] / whole["n"])
+    # Rows to grow: a basket, and where in it the combination ends. Only tokens that are frequent in blocked baskets remain.
+    usual = baskets.select(F.explode("tokens").alias("token"), "b").groupBy("token").agg(F.sum("b").alias("b")).where(F.col("b") >= enough).select("token")
+    one = baskets.select("tokens", "n", "b", F.explode("tokens").alias("token")).join(usual, "token")
+    items = one.groupBy("tokens").agg(F.first("n").alias("n"), F.first("b").alias("b"), F.array_sort(F.collect_set("token")).alias("items"))
+    rows = staged(items.groupBy("items").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).withColumn("set", F.array().cast("array<string>")), "grown")
+    found, before = empty, None
+    for level in range(1, TOKENS + 1):
+        after = F.filter("items", lambda x: F.coalesce(x > F.element_at("set", -1), F.lit(True))) if level > 1 else F.col("items")
+        grown = rows.select("items", "n", "b", "set", F.explode(after).alias("token")).select("items", "n", "b", F.concat("set", F.array("token")).alias("set"))
+        sets = grown.groupBy("set").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).where(F.col("b") >= enough).withColumn("c", F.col("b") / F.col("n"))
+        if before is None:
+            told = sets.withColumn("below", F.lit(-1.0))
+        else:  # all parts one shorter must be growing ones, none in the same baskets; below: the surest rule within
+            part = F.explode(F.transform(F.sequence(F.lit(1), F.lit(level)), lambda i: F.concat(F.slice("set", 1, i - 1), F.slice("set", i + 1, level))))
+            each = sets.select("set", "n", "b", "c", part.alias("part")).join(before.select(F.col("set").alias("part"), F.col("n").alias("part_n"), "best"), "part")
+            told = each.groupBy("set", "n", "b", "c").agg(F.count("*").alias("parts"), F.min("part_n").alias("fewest"), F.max("best").alias("below"))
+            told = told.where((F.col("parts") == level) & (F.col("fewest") > F.col("n"))).drop("parts", "fewest")
+        told = staged(told.withColumn("best", F.greatest("c", "below")), "sets")
+        found = found.union(told.where((F.col("c") >= sure) & (F.col("c") > F.col("below"))).select("set", "c", F.col("b") / F.lit(float(whole["n"]))))
+        before = told.where("best < 1")
+        if level == TOKENS or before.isEmpty():
+            break
+        rows = staged(grown.join(before.select("set"), "set", "left_semi").select("items", "n", "b", "set"), "grown")
+    return staged(found, "rules")
+
+
+def blocked(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """The distinct rows of urls(url, tokens) that a rule blocks, as (url), by the inverted index of rules(tokens).
+
+    A rule stands under its token that the fewest rules have, so common tokens seldom lead to a rule."""
+    rules = rules.select(F.col("tokens").alias("rule"))
+    often = rules.select(F.explode("rule").alias("token")).groupBy("token").count()
+    ranked = rules.select("rule", F.explode("rule").alias("token")).join(often, "token")
+    index = staged(ranked.groupBy("rule").agg(F.min(F.struct("count", "token")).alias("rarest")).select("rule", F.col("rarest.token").alias("token")), "index")
+    # A written table: Spark broadcasts it if it is small, and splits hot tokens of the urls if it is not.
+    asked = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token")
+    return asked.where(F.size(F.array_except("rule", "tokens")) == 0).select("url").distinct()
 
 
 def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -103,8 +129,11 @@ def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rule
     host, path = parts(F.col("url"))
     base = base.withColumns({"host": host, "path": path})
     rule, fixed = fitting(F.col("host"), F.col("path"), rules)
-    base = base.withColumns({"rule": rule, "fixed": fixed, "tokens": tokens(F.col("url"), F.col("host"), F.col("path"))})
-    labelled = base.where("fixed is not null").select("tokens", F.col("fixed").alias("verdict"))
-    fires = matched(F.col("tokens"), mine(labelled))
-    verdict = F.coalesce("fixed", F.when(fires, "block").otherwise("allow"))
-    return base.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), F.col("fixed").isNull().alias("mined"))
+    base = base.withColumns({"rule": rule, "fixed": fixed})
+    with_tokens = base.withColumn("tokens", tokens(F.col("url"), F.col("host"), F.col("path")))
+    mined = mine(with_tokens.where("fixed is not null").select("tokens", F.col("fixed").alias("verdict")))
+    open_ = with_tokens.where("fixed is null and host <> ''").select("url", "tokens").distinct()
+    fires = staged(blocked(open_, mined).withColumn("fires", F.lit(True)), "fires")
+    out = base.join(fires, "url", "left")
+    verdict = F.coalesce("fixed", F.when(F.col("fires"), "block").otherwise("allow"))
+    return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), F.col("fixed").isNull().alias("mined"))
