@@ -1,4 +1,4 @@
-"""python -m foldstone.cli --dir DIR put K V | get K | del K | scan START END [LIMIT] | compact | stats"""
+"""One command on a folder of layers; python -m foldstone.cli --help tells which."""
 
 from __future__ import annotations
 
@@ -31,6 +31,8 @@ def run(spark: SparkSession, path: str, command: str, args: list[str]) -> list[s
     if command == "scan" and len(args) in (2, 3):
         most = spark.range(1).select(clamped_limit(F.lit(int(args[2])) if len(args) == 3 else F.lit(None).cast("int")).alias("n")).first().n
         return [f"{r.key}\t{r.value}" for r in reads.scan(table.read(), args[0], args[1], most).collect()]
+    if command in ("sync", "flush") and not args:
+        return ["OK"]  # every command's writes are a layer before it ends
     if command == "compact" and not args:
         return [f"merged={str(table.compact()).lower()}"]
     if command == "stats" and not args:
@@ -42,8 +44,8 @@ def run(spark: SparkSession, path: str, command: str, args: list[str]) -> list[s
 def main() -> int:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("--dir", required=True)
-    parser.add_argument("command")
-    parser.add_argument("args", nargs="*")
+    parser.add_argument("command", choices=("put", "get", "del", "scan", "sync", "flush", "compact", "stats"))
+    parser.add_argument("args", nargs="*", help="a key and what else the command needs: a value, or an end and at most how many")
     given = parser.parse_args()
     spark = SparkSession.builder.appName("foldstone").config("spark.ui.enabled", "false").getOrCreate()
     try:

@@ -47,7 +47,11 @@ def versions(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.join(ends, ["key", "seq"], "left").select("key", "op", "value", F.col("seq").alias("since"), "until")
 
 
+def size_of() -> Column:
+    """Bytes of a mutation: a pair counts its key and value, a delete its key and one."""
+    return F.octet_length("key") + F.when(F.col("op") == "put", F.coalesce(F.octet_length("value"), F.lit(0))).otherwise(1)
+
+
 def pending_bytes(rows: DataFrame) -> DataFrame:
-    """(keys, bytes) of a folded tail: a pair counts its key and value, a delete its key and one."""
-    size: Column = F.octet_length("key") + F.when(F.col("op") == "put", F.coalesce(F.octet_length("value"), F.lit(0))).otherwise(1)
-    return newest(rows).agg(F.count("*").alias("keys"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("bytes"))
+    """(keys, bytes) of a folded tail."""
+    return newest(rows).agg(F.count("*").alias("keys"), F.coalesce(F.sum(size_of()), F.lit(0)).cast("long").alias("bytes"))

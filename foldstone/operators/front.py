@@ -29,11 +29,22 @@ def as_operations(requests: DataFrame) -> DataFrame:
     return requests.where("code is null").select(F.col("seq_in").alias("seq"), "op", "key", "value", "start", "end", "limit")
 
 
-def responses(view: DataFrame, lines: DataFrame, bucket: Callable[[Column], Column], block: int = BLOCK) -> DataFrame:
+STATS = ("flushes", "flushed_records", "flushed_bytes", "compactions", "compacted_records", "tables")
+ADMIN = ("sync", "flush", "compact", "stats")
+
+
+def responses(view: DataFrame, lines: DataFrame, bucket: Callable[[Column], Column], block: int = BLOCK, merged: bool = False, stats: dict[str, int] | None = None) -> DataFrame:
     """(seq_in, response) for each of lines(seq_in, line); view(key, value) is the state before, in binary.
 
-    The view counts as puts before the first line. bucket is a monotone long of a key, for scans."""
+    The view counts as puts before the first line. bucket is a monotone long of a key, for scans.
+    merged and stats are what the caller did for the batch and how it stands then: the first compact
+    of a batch is answered with merged, later ones with false, stats with stats (none: no answer of
+    that kind is given, the request is refused)."""
     requests = accepted(lines)
+    if stats is None:
+        refused = F.col("op").isin(*ADMIN) & F.col("code").isNull()
+        requests = requests.withColumns({"message": F.when(refused, "not served here").otherwise(F.col("message")), "code": F.when(refused, "INVALID_ARGUMENT").otherwise(F.col("code"))})
+        stats = {}
     ops = as_operations(requests)
     null = F.lit(None).cast("binary")
     before = view.select(F.lit(-1).cast("long").alias("seq"), F.lit("put").alias("op"), "key", "value", null.alias("start"), null.alias("end"))
@@ -47,13 +58,17 @@ def responses(view: DataFrame, lines: DataFrame, bucket: Callable[[Column], Colu
     seen = seen.join(limits, "scan").where(F.col("place") <= F.col("most")).groupBy(F.col("scan").alias("seq_in"))
     found = F.transform(F.array_sort(F.collect_list(pair)), lambda p: F.struct(p["key_b64"].alias("key_b64"), p["value_b64"].alias("value_b64")))
     pairs = seen.agg(found.alias("found"))
-    told = requests.join(points, "seq_in", "left").join(pairs, "seq_in", "left")
+    # The place of the batch's first compact: one row.
+    first = requests.where("op = 'compact' and code is null").agg(F.min("seq_in").alias("first_compact"))
+    told = requests.join(points, "seq_in", "left").join(pairs, "seq_in", "left").join(F.broadcast(first))
     missing = F.col("code").isNull() & (F.col("op") == "get") & ~F.col("was_live")
     ok = F.col("code").isNull() & ~missing
     line = F.struct(
         "seq", ok.alias("ok"), F.when(missing, "NOT_FOUND").otherwise(F.col("code")).alias("code"), F.when(missing, "key not found").otherwise(F.col("message")).alias("message"),
         F.when(ok & (F.col("op") == "get"), to_base64(F.col("observed"))).alias("value_b64"), F.when(ok & (F.col("op") == "delete"), F.col("was_live")).alias("removed"),
         F.when(ok & (F.col("op") == "scan"), F.coalesce("found", F.array().cast(PAIRS))).alias("pairs"),
+        F.when(ok & (F.col("op") == "compact"), F.lit(merged) & (F.col("seq_in") == F.col("first_compact"))).alias("merged"),
+        F.when(ok & (F.col("op") == "stats"), F.struct(*(F.lit(stats.get(k, 0)).cast("long").alias(k) for k in STATS))).alias("stats"),
     )
     return told.select("seq_in", F.to_json(line).alias("response"))
 

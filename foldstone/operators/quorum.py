@@ -17,11 +17,19 @@ def elected(votes: DataFrame, nodes: int) -> DataFrame:
     return told.where(F.col("votes") >= majority(nodes))
 
 
-def commit_index(matches: DataFrame, nodes: int) -> DataFrame:
-    """(term, commit): the highest index that a majority of nodes holds; matches(term, node, match_index)."""
+def fresh(votes: DataFrame) -> DataFrame:
+    """The votes that may be given: the candidate's log (last_term, last_index) is not behind the voter's (own_term, own_index)."""
+    return votes.where("struct(last_term, last_index) >= struct(own_term, own_index)")
+
+
+def commit_index(matches: DataFrame, nodes: int, entries: DataFrame | None = None) -> DataFrame:
+    """(term, commit): the highest index that a majority of nodes holds; matches(term, node, match_index).
+
+    With entries(index, term), a term commits only if the entry there is its own; older ones go with it."""
     best = matches.groupBy("term", "node").agg(F.max("match_index").alias("match_index"))
     ranked = best.groupBy("term").agg(F.sort_array(F.collect_list("match_index"), asc=False).alias("held"))  # a value for each node
-    return ranked.where(F.size("held") >= majority(nodes)).select("term", F.element_at("held", majority(nodes)).alias("commit"))
+    out = ranked.where(F.size("held") >= majority(nodes)).select("term", F.element_at("held", majority(nodes)).alias("commit"))
+    return out if entries is None else out.join(entries.select(F.col("index").alias("commit"), "term"), ["commit", "term"], "left_semi").select("term", "commit")
 
 
 def disagreements(logs: DataFrame) -> DataFrame:

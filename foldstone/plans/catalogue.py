@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldstone.functions import encoding, limits
-from foldstone.operators import fold, layers, membership, quorum, reads, replay, report
+from foldstone.operators import fold, front, layers, membership, quorum, reads, replay, report
 from foldstone.sources import oplog
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -190,10 +189,13 @@ def dense_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oplog.dense_prefix(log)
 
 
-def _layer_list(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+def _layered(spark: SparkSession, sf_dir: str) -> layers.LayeredTable:
+    """The log written as ten layers, a tenth of its numbers each."""
     changes = _changes(spark, sf_dir)
     last = changes.agg(F.max("seq")).first()[0] or 0
-    return [fold.newest(changes.where((F.col("seq") >= lo) & (F.col("seq") < lo + (last // 10 + 1)))) for lo in range(0, last + 1, last // 10 + 1)]
+    made = layers.LayeredTable(spark, layers.scratch(spark))
+    made.flush_parts(changes, F.expr(f"seq div {last // 10 + 1}"), 10)
+    return made
 
 
 TENTHS = FOLD + """, t as (select max(seq) // 10 + 1 as width from m), l as (select k, op, v, seq, layer from (select m.*, seq // width as layer, row_number() over (partition by seq // width, k order by seq desc) as rn from m, t) where rn = 1)"""
@@ -201,32 +203,67 @@ TENTHS = FOLD + """, t as (select max(seq) // 10 + 1 as width from m), l as (sel
 
 @query("flush_layer", f"with {TENTHS} select k as key, op, v as value from l where layer = 0")
 def flush_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _layer_list(spark, sf_dir)[0].select("key", "op", "value")
+    return _layered(spark, sf_dir).layer(0).select("key", "op", "value")
 
 
 @query("merged_read", f"with {FOLD} select k as key, v as value from f where op = 'put'")
 def merged_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten layers read together are the live view."""
-    return layers.merged(_layer_list(spark, sf_dir), drop_deleted=True).select("key", "value")
+    """Ten written layers read together are the live view."""
+    return _layered(spark, sf_dir).read()
 
 
 @query("compact_partial", f"with {TENTHS} select key, op, value from (select k as key, op, v as value, row_number() over (partition by k order by seq desc) as rn from l where layer < 8) where rn = 1")
 def compact_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The oldest eight layers as one; deletes stay."""
-    return layers.merged(_layer_list(spark, sf_dir)[: layers.FAN], drop_deleted=False).select("key", "op", "value")
+    """The oldest eight layers as one that is written and read back; deletes stay."""
+    made = _layered(spark, sf_dir)
+    made.maintain()
+    return made.layer(made.manifest().layers[0]).select("key", "op", "value")
 
 
 @query("compact_full", f"with {FOLD} select k as key, v as value from f where op = 'put'")
 def compact_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = _layer_list(spark, sf_dir)
-    first = layers.merged(made[: layers.FAN], drop_deleted=False)
-    return layers.merged([first, *made[layers.FAN :]], drop_deleted=True).select("key", "value")
+    """All layers as one, by two merges; read without a fold, as one layer holds a key once and no deletes."""
+    made = _layered(spark, sf_dir)
+    made.maintain()
+    made.compact()
+    return made.layers(made.manifest().layers).select("key", "value")
+
+
+@query("adopted_read", f"with {FOLD} select k as key, v as value from f where op = 'put'")
+def adopted_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers whose manifest is lost are adopted by number, and read the same."""
+    made = _layered(spark, sf_dir)
+    made.forget()
+    made.adopt()
+    return made.read()
+
+
+@query("vacuumed_read", f"with {FOLD}, t as (select count(distinct layer) as n from (select seq // (select max(seq) // 10 + 1 from m) as layer from m)) select k as key, v as value, n as gone from f, t where op = 'put'")
+def vacuumed_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After a full compaction its inputs' folders are deleted, and reads stay the same."""
+    made = _layered(spark, sf_dir)
+    made.compact()
+    gone = len(made.vacuum())
+    return made.read().withColumn("gone", F.lit(gone).cast("long"))
 
 
 @query("layer_stats", f"with {TENTHS} select layer, count(*) as records, sum(case when op = 'delete' then 1 else 0 end)::bigint as deletes, min(k) as first_key, max(k) as last_key from l group by layer")
 def layer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = [x.withColumn("layer", F.lit(i).cast("long")) for i, x in enumerate(_layer_list(spark, sf_dir))]
-    return reduce(DataFrame.unionByName, each).groupBy("layer").agg(F.count("*").alias("records"), F.sum(F.when(F.col("op") == "delete", 1).otherwise(0)).cast("long").alias("deletes"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
+    made = _layered(spark, sf_dir)
+    each = made.layers(made.manifest().layers).withColumn("layer", F.col("layer").cast("long"))
+    return each.groupBy("layer").agg(F.count("*").alias("records"), F.sum(F.when(F.col("op") == "delete", 1).otherwise(0)).cast("long").alias("deletes"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
+
+
+#: Bytes at which a tail is flushed, in the query of that.
+THRESHOLD = 4096
+
+
+@query("flush_due", f"with {TENTHS} select layer, bytes, bytes >= {THRESHOLD} as due from (select layer, sum(octet_length(encode(k)) + case when op = 'put' then coalesce(octet_length(encode(v)), 0) else 1 end)::bigint as bytes from l group by layer)")
+def flush_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each tenth of the log, as a tail of its own: its folded bytes, and whether they reach the threshold."""
+    made = _layered(spark, sf_dir)
+    each = made.layers(made.manifest().layers).groupBy(F.col("layer").cast("long").alias("layer")).agg(F.sum(fold.size_of()).cast("long").alias("bytes"))
+    return each.withColumn("due", F.col("bytes") >= THRESHOLD)
 
 
 @query("pending_bytes", f"with {FOLD} select count(*) as keys, sum(octet_length(encode(k)) + case when op = 'put' then coalesce(octet_length(encode(v)), 0) else 1 end)::bigint as bytes from f")
@@ -236,30 +273,26 @@ def pending_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("write_amplification", f"with {TENTHS}, w as (select sum(octet_length(encode(k)) + case when op = 'put' then coalesce(octet_length(encode(v)), 0) else 1 end)::bigint as written from l), h as (select sum(octet_length(encode(k)) + coalesce(octet_length(encode(v)), 0))::bigint as live from f where op = 'put') select written, live, round(written / live, 6) as amplification from w, h")
 def write_amplification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of ten flushed layers against bytes of the live pairs, by one pass over the log."""
-    size = F.octet_length("key") + F.when(F.col("op") == "put", F.coalesce(F.octet_length("value"), F.lit(0))).otherwise(1)
-    each = reduce(DataFrame.unionByName, _layer_list(spark, sf_dir)).withColumn("bytes", size)
-    newest = F.max(F.struct("seq", "op", "bytes")).alias("m")
-    by_key = each.groupBy("key").agg(F.sum("bytes").alias("written"), newest)
+    """Bytes of ten written layers against bytes of the live pairs, by one scan of the layers."""
+    made = _layered(spark, sf_dir)
+    each = made.layers(made.manifest().layers).withColumn("bytes", fold.size_of())
+    by_key = each.groupBy("key").agg(F.sum("bytes").alias("written"), F.max(F.struct("rank", "op", "bytes")).alias("m"))
     live = F.sum(F.when(F.col("m.op") == "put", F.col("m.bytes")).otherwise(0))
-    return by_key.agg(F.sum("written").alias("written"), live.alias("live")).withColumn("amplification", F.round(F.col("written") / F.col("live"), 6))
+    return by_key.agg(F.sum("written").cast("long").alias("written"), live.cast("long").alias("live")).withColumn("amplification", F.round(F.col("written") / F.col("live"), 6))
 
 
-@query("scrub_layer", f"with {TENTHS} select count(*) as records, true as intact from l where layer = 0")
+@query("scrub_layer", f"with {TENTHS} select layer::integer as layer, count(*) as records, true as intact from l group by layer")
 def scrub_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A layer's count, and whether its checksum is that of the rows it was made from."""
-    layer = _layer_list(spark, sf_dir)[0]
-    other = fold.newest(layer)
-    told = layers.digest(layer).withColumn("side", F.lit("a")).unionByName(layers.digest(other).withColumn("side", F.lit("b")))
-    return told.agg(F.max("records").alias("records"), (F.countDistinct("records", "checksum") == 1).alias("intact"))
+    """Every written layer's files read back and compared with the count and checksum from when it was made."""
+    return _layered(spark, sf_dir).scrub()
 
 
-@query("orphan_layers", "select c_custkey as layer from customer where c_custkey not in (select o_custkey from orders)")
+@query("orphan_layers", f"with {TENTHS} select distinct layer::integer as layer from l")
 def orphan_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is there and not listed: customers stand for folders, orders for a manifest."""
-    there = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("layer"))
-    listed = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("layer"))
-    return there.join(listed, "layer", "left_anti")
+    """What is there and not listed after a full compaction: its inputs."""
+    made = _layered(spark, sf_dir)
+    made.compact()
+    return spark.createDataFrame([(i,) for i in made.orphans()], "layer int")  # numbers of layers, not rows
 
 
 @query("sorted_run_check", "select l_orderkey as key, count(*) as n from lineitem group by 1 having count(*) > 1")
@@ -297,6 +330,45 @@ def wire_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.responses(oplog.from_events(spark, sf_dir))
 
 
+LIMIT = "case when seq % 5 = 0 then null else seq % 7 end"
+
+
+def _request_lines(ops: DataFrame) -> DataFrame:
+    coded = {f"{c}_b64": encoding.to_base64(F.col(c).cast("binary")) for c in ("key", "value", "start", "end")}
+    return ops.select(F.col("seq").alias("seq_in"), F.to_json(F.struct("seq", "op", *(v.alias(k) for k, v in coded.items()), F.expr(LIMIT).alias("limit"))).alias("line"))
+
+
+@query("wire_scans", f"""with {SCANS}, n as (select sr.seq, sr.k, sr.v, row_number() over (partition by sr.seq order by sr.k) as place from sr),
+p as (select seq, string_agg('{{"key_b64":"' || base64(encode(k)) || '","value_b64":"' || base64(encode(v)) || '"}}', ',' order by k) as pairs from n where place <= greatest(coalesce({LIMIT}, 1000), 1) group by seq)
+select sc.seq as seq_in, '{{"seq":' || sc.seq || ',"ok":true,"pairs":[' || coalesce(pairs, '') || ']}}' as response from sc left join p using (seq)""")
+def wire_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of scan requests with limits among writes, from an empty store."""
+    ops = oplog.from_events(spark, sf_dir)
+    empty = spark.createDataFrame([], "key binary, value binary")
+    told = front.responses(empty, _request_lines(ops), lambda k: F.substring(k.cast("string"), 2, 20).cast("long"))
+    return told.join(ops.where("op = 'scan'").select(F.col("seq").alias("seq_in")), "seq_in", "left_semi")
+
+
+HALVES = OPS + """, t as (select max(seq) // 2 + 1 as width from ops), h as (select k, op, v, seq, row_number() over (partition by seq // width, k order by seq desc) as rn from m, t),
+s as (select count(*) as records, sum(octet_length(encode(k)) + case when op = 'put' then coalesce(octet_length(encode(v)), 0) else 1 end)::bigint as bytes from h where rn = 1),
+f as (select count(*) as live from (select op, row_number() over (partition by k order by seq desc) as rn from m) where rn = 1 and op = 'put')"""
+
+
+@query("wire_admin", f"""with {HALVES}, a(seq, rest) as (select -4, '' union all select -3, '' union all select -2, ',"merged":true' union all select -1, ',"stats":{{"flushes":2,"flushed_records":' || records || ',"flushed_bytes":' || bytes || ',"compactions":1,"compacted_records":' || live || ',"tables":1}}' from s, f)
+select '{{"seq":' || (5 + seq) || ',"ok":true' || rest || '}}' as response from a""")
+def wire_admin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches of writes, then sync, flush, compact and stats: what the requests do and answer."""
+    ops = oplog.from_events(spark, sf_dir)
+    width = (ops.agg(F.max("seq")).first()[0] or 0) // 2 + 1
+    made = layers.LayeredTable(spark, layers.scratch(spark))
+    for half in (0, 1):
+        made.flush(oplog.mutations(ops.where(F.expr(f"seq div {width} = {half}"))), half)
+    merged, m = made.compact(), made.manifest()
+    lines = spark.createDataFrame([(i, f'{{"seq":{i},"op":"{op}"}}') for i, op in enumerate(front.ADMIN, 1)], "seq_in long, line string")
+    none = made.read().select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))
+    return front.responses(none, lines, lambda k: F.lit(0).cast("long"), merged=merged, stats=m.stats | {"tables": len(m.layers)}).select("response")
+
+
 @query("base64_roundtrip", "select page_id, base64(encode(url)) as coded, true as same from pages")
 def base64_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", encoding.to_base64(F.col("url").cast("binary")).alias("coded"))
@@ -341,14 +413,29 @@ def load_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.groupBy("client").agg(F.count("*").alias("n"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
 
 
+def _loaded(spark: SparkSession, numbers: DataFrame) -> layers.LayeredTable:
+    """Keys and values of numbers, written as a layer."""
+    made = layers.LayeredTable(spark, layers.scratch(spark))
+    made.flush(numbers.select(F.col("number").alias("seq"), F.lit("put").alias("op"), encoding.load_key("o", F.col("number")).alias("key"), encoding.load_value("o", F.col("number"), 64).alias("value")))
+    return made
+
+
+def _order_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("number"))
+
+
 @query("load_verify", "select count(*) as reads, 0::bigint as mismatches from orders")
 def load_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every value that was written is read back through a fold and compared with what it must be."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
-    wanted = orders.select(encoding.load_key("o", F.col("o_orderkey")).alias("key"), encoding.load_value("o", F.col("o_orderkey"), 64).alias("value"), F.col("o_orderkey").alias("seq"))
-    got = fold.live(wanted.withColumn("op", F.lit("put")))
-    bad = report.mismatches(got, wanted).agg(F.count("*").alias("mismatches"))
-    return got.agg(F.count("*").alias("reads")).join(F.broadcast(bad), F.lit(True))  # two single rows
+    """Every value that was written is read back from its layer and compared with what it must be."""
+    numbers = _order_numbers(spark, sf_dir)
+    return report.verified(_loaded(spark, numbers).read(), "o", numbers, 64)
+
+
+@query("verify_only", "select count(*) as reads, sum(case when o_orderkey % 3 = 0 then 1 else 0 end)::bigint as mismatches from orders")
+def verify_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store that another job has loaded is verified alone: what that job has left out is told."""
+    numbers = _order_numbers(spark, sf_dir)
+    return report.verified(_loaded(spark, numbers.where("number % 3 <> 0")).read(), "o", numbers, 64)
 
 
 VOTES = "v as (select event_id as seq, event_id // 100 as term, user_id % 5 as voter, (user_id // 5) % 2 as candidate from events)"
@@ -369,6 +456,29 @@ def raft_quorum_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quorum.commit_index(matches, 5)
 
 
+FRESH = """w as (select event_id as seq, event_id // 100 as term, user_id % 5 as voter, (user_id // 5) % 2 as candidate from events where (event_id % 7, user_id % 11) >= ((event_id // 3) % 7, user_id % 5))"""
+
+
+@query("raft_fresh_votes", f"with {FRESH}, f as (select term, voter, candidate from (select *, row_number() over (partition by term, voter order by seq) as rn from w) where rn = 1) select term, candidate, count(*) as votes from f group by term, candidate having count(*) >= 3")
+def raft_fresh_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winners among candidates whose log is not behind the voter's."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    votes = events.selectExpr(
+        "event_id as seq", "event_id div 100 as term", "user_id % 5 as voter", "(user_id div 5) % 2 as candidate",
+        "event_id % 7 as last_term", "user_id % 11 as last_index", "(event_id div 3) % 7 as own_term", "user_id % 5 as own_index",
+    )
+    return quorum.elected(quorum.fresh(votes), 5)
+
+
+@query("raft_current_term_commit", "with b as (select event_id // 100 as term, user_id % 5 as node, max(event_id) as mi from events group by 1, 2), r as (select term, mi, row_number() over (partition by term order by mi desc) as rn from b) select term, mi as commit from r where rn = 3 and mi % 4 <> 0")
+def raft_current_term_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As raft_quorum_commit, where every fourth entry is of an older term and so does not commit by count."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    matches = events.select(F.expr("event_id div 100").alias("term"), (F.col("user_id") % 5).alias("node"), F.col("event_id").alias("match_index"))
+    entries = events.select(F.col("event_id").alias("index"), F.expr("event_id div 100 - if(event_id % 4 = 0, 1, 0)").alias("term"))
+    return quorum.commit_index(matches, 5, entries)
+
+
 LOGS = "logs as (select n.node, event_id as idx, case when n.node = 2 and event_id >= 700 then event_id // 100 + 1 else event_id // 100 end as term, event_type as command from events, (values (0), (1), (2)) n(node))"
 
 
@@ -406,3 +516,9 @@ def error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def generated_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A seeded stream's point results; tests compare them with a dictionary."""
     return replay.point_results(oplog.generated(spark, 10_000, seed=7))
+
+
+@query("generated_wide_replay")
+def generated_wide_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over 65,536 keys with values of up to eight bytes."""
+    return replay.point_results(oplog.generated(spark, 20_000, seed=11, keys=1 << 16, most=8))

@@ -34,17 +34,20 @@ def mutations(ops: DataFrame) -> DataFrame:
     return ops.where(F.col("op").isin("put", "delete")).select("seq", "op", "key", "value")
 
 
-def generated(spark: SparkSession, n: int, seed: int, keys: int = 8) -> DataFrame:
-    """A seeded stream of 45 % puts, 20 % deletes, 20 % gets and 15 % scans over a few one-byte keys."""
+def generated(spark: SparkSession, n: int, seed: int, keys: int = 8, most: int = 3) -> DataFrame:
+    """A seeded stream of 45 % puts, 20 % deletes, 20 % gets and 15 % scans; values of 1 to most bytes, scans of two equal bounds left out.
+
+    Keys are big-endian numbers of one byte, or of two above 256 keys (a wide stream has 65,536)."""
     draw = lambda salt, m: F.pmod(F.xxhash64("seq", F.lit(seed), F.lit(salt)), F.lit(m))
     share, a, b = draw(0, 100), draw(1, keys), draw(3, keys)
     op = F.when(share < 45, "put").when(share < 65, "delete").when(share < 85, "get").otherwise("scan")
-    byte = lambda c: F.unhex(F.lpad(F.hex(c), 2, "0"))
-    ops = spark.range(n).select(F.col("id").alias("seq")).select("seq", op.alias("op"), a.alias("a"), b.alias("b"), F.substring(F.sha2(F.concat_ws("/", "seq", F.lit(seed)).cast("binary"), 256), 1, 6).alias("v"))
+    key = lambda c: F.unhex(F.lpad(F.hex(c), 2 if keys <= 256 else 4, "0"))
+    digits = F.sha2(F.concat_ws("/", "seq", F.lit(seed)).cast("binary"), 256)
+    ops = spark.range(n).select(F.col("id").alias("seq")).select("seq", op.alias("op"), a.alias("a"), b.alias("b"), F.substring(digits, F.lit(1), 2 * (draw(4, most).cast("int") + 1)).alias("v"))
     scan = F.col("op") == "scan"
-    return ops.select(
-        "seq", "op", F.when(~scan, byte(F.col("a"))).alias("key"), F.when(F.col("op") == "put", F.unhex("v")).alias("value"),
-        F.when(scan, byte(F.least("a", "b"))).alias("start"), F.when(scan, byte(F.greatest("a", "b"))).alias("end"),
+    return ops.where(~scan | (F.col("a") != F.col("b"))).select(
+        "seq", "op", F.when(~scan, key(F.col("a"))).alias("key"), F.when(F.col("op") == "put", F.unhex("v")).alias("value"),
+        F.when(scan, key(F.least("a", "b"))).alias("start"), F.when(scan, key(F.greatest("a", "b"))).alias("end"),
     )
 
 

@@ -27,19 +27,26 @@ def op_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 
 
 def serve(table: LayeredTable, lines: DataFrame, out: str, checkpoint: str, bucket=None) -> StreamingQuery:
-    """Answer streams of request lines: the responses of batch n are written to out/batch=n, then its writes become a layer.
+    """Answer streams of request lines: the writes of batch n become a layer, then its responses are written to out/batch=n.
 
-    lines has a column value. A batch that is tried again before its layer was published
-    overwrites its own folder; after that it does nothing."""
+    lines has a column value. Reads see the writes before them. sync, flush, compact and stats act once
+    for a batch, after its writes: when their answers appear, the writes are a layer, all layers are
+    one if a compact was asked for, and the counters are those after it. A batch that is tried again
+    is answered from the layers before it, which the manifest still names, and writes nothing twice."""
 
     def answer(batch: DataFrame, number: int) -> None:
         read = batch.select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("at")).persist()
         placed = numbered(read, "at").select(F.col("seq").alias("seq_in"), "line").persist()
+        asked = accepted(placed)
         if number > table.manifest().last_batch:
-            made = responses(table.read(), placed, bucket or byte_bucket())
-            made.orderBy("seq_in").select(F.col("response").alias("value")).write.mode("overwrite").text(f"{out}/batch={number}")
-            table.flush(as_operations(accepted(placed)).where(F.col("op").isin("put", "delete")).select("seq", "op", "key", "value"), number)
+            table.flush(as_operations(asked).where(F.col("op").isin("put", "delete")).select("seq", "op", "key", "value"), number)
+            if not asked.where("op = 'compact' and code is null").isEmpty():
+                table.compact(of_batch=True)
             table.maintain()
+        m = table.manifest()
+        if number == m.last_batch:
+            made = responses(table.read(of=m.before), placed, bucket or byte_bucket(), merged=m.merged, stats=m.stats | {"tables": len(m.layers)})
+            made.orderBy("seq_in").select(F.col("response").alias("value")).write.mode("overwrite").text(f"{out}/batch={number}")
         placed.unpersist()
         read.unpersist()
 

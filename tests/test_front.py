@@ -65,7 +65,7 @@ def test_batch_is_a_dictionary(spark):
     view = spark.createDataFrame(list(state.items()), "key binary, value binary")
     lines = requests(3, 250)
     table = spark.createDataFrame(list(enumerate(lines)), "seq_in long, line string")
-    got = [json.loads(r.response) for r in responses(view, table, byte_bucket(), 50).orderBy("seq_in").collect()]
+    got = [json.loads(r.response) for r in responses(view, table, byte_bucket(), 50, stats={}).orderBy("seq_in").collect()]
     assert got == answers(state, lines)
 
 
@@ -93,6 +93,44 @@ def test_stream_of_lines(spark, tmp_path):
     assert len(table.manifest().layers) < 3
 
 
+def test_admin_requests_act(spark, tmp_path):
+    table = LayeredTable(spark, f"file://{tmp_path}/t", "binary", "binary")
+    table.flush(spark.createDataFrame([(0, "put", b"a", b"1"), (1, "put", b"b", b"2")], "seq long, op string, key binary, value binary"))
+    put = lambda seq, k, v: json.dumps({"seq": seq, "op": "put", "key_b64": b(k), "value_b64": b(v)})
+    (tmp_path / "in").mkdir()
+    lines = [put(1, b"c", b"33"), '{"seq":2,"op":"sync"}', '{"seq":3,"op":"flush"}', json.dumps({"seq": 4, "op": "delete", "key_b64": b(b"a")}), '{"seq":5,"op":"compact"}', '{"seq":6,"op":"compact"}', '{"seq":7,"op":"stats"}', json.dumps({"seq": 8, "op": "get", "key_b64": b(b"a")})]
+    (tmp_path / "in" / "0.json").write_text("\n".join(lines))
+    stats = {"flushes": 2, "flushed_records": 4, "flushed_bytes": 9, "compactions": 1, "compacted_records": 2, "tables": 1}
+    want = [{"seq": k, "ok": True} for k in range(1, 8)] + [{"seq": 8, "ok": False, "code": "NOT_FOUND", "message": "key not found"}]
+    want[3]["removed"], want[4]["merged"], want[5]["merged"], want[6]["stats"] = True, True, False, stats
+    for attempt in range(2):  # the second from a new checkpoint: a batch that is tried again is answered the same and changes nothing
+        serve(table, spark.readStream.text(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/ck{attempt}").awaitTermination()
+        got = [json.loads(line) for part in sorted((tmp_path / "out" / "batch=0").glob("part-*")) for line in part.read_text().splitlines()]
+        assert got == want
+        assert (table.manifest().layers, table.vacuum()) == ([2], ["layer=1"] if attempt == 0 else [])
+    assert {bytes(r.key): bytes(r.value) for r in table.read().collect()} == {b"b": b"2", b"c": b"33"}
+    (r,) = responses(table.read(), spark.createDataFrame([(0, '{"seq":1,"op":"flush"}')], "seq_in long, line string"), byte_bucket()).collect()
+    assert not json.loads(r.response)["ok"]
+
+
+def test_scrub_finds_a_changed_file(spark, tmp_path):
+    table = LayeredTable(spark, f"file://{tmp_path}/t")
+    for v in "123":
+        table.flush(spark.createDataFrame([(0, "put", "a", v), (1, "put", "b" + v, v)], "seq long, op string, key string, value string"))
+    assert [(r.layer, r.records, r.intact) for r in table.scrub().orderBy("layer").collect()] == [(0, 2, True), (1, 2, True), (2, 2, True)]
+    spark.createDataFrame([("a", "put", "9"), ("b2", "put", "2")], "key string, op string, value string").write.mode("overwrite").parquet(f"{tmp_path}/t/layer=1")
+    for f in (tmp_path / "t" / "layer=2").glob("*"):
+        f.unlink()
+    assert [(r.layer, r.records, r.intact) for r in table.scrub().orderBy("layer").collect()] == [(0, 2, True), (1, 2, False), (2, 0, False)]
+
+
+def test_flush_by_bytes(spark, tmp_path):
+    table = LayeredTable(spark, f"file://{tmp_path}/t")
+    tail = spark.createDataFrame([(0, "put", "a", "1234"), (1, "put", "a", "12345"), (2, "delete", "b", None)], "seq long, op string, key string, value string")
+    assert not table.maybe_flush(tail, 9) and table.manifest().layers == []
+    assert table.maybe_flush(tail, 8) and table.manifest().stats["flushed_bytes"] == 8
+
+
 def test_commands(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     for k, v in (("b", "2"), ("a", "1"), ("c", "3"), ("b", "4")):
@@ -101,6 +139,7 @@ def test_commands(spark, tmp_path):
     assert run(spark, path, "scan", ["a", "c"]) == ["a\t1", "b\t4"]
     assert run(spark, path, "scan", ["a", "z", "1"]) == ["a\t1"]
     assert run(spark, path, "del", ["a"]) == ["OK"]
+    assert run(spark, path, "sync", []) == run(spark, path, "flush", []) == ["OK"]
     assert run(spark, path, "compact", []) == ["merged=true"]
     assert "layers=1" in run(spark, path, "stats", [])
     for command, args, code in (("get", ["a"], "NOT_FOUND"), ("put", ["", "x"], "INVALID"), ("scan", ["z", "a"], "INVALID"), ("what", [], "INVALID")):

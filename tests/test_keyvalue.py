@@ -104,9 +104,9 @@ def test_states_after_a_crash(spark, tmp_path):
     table = LayeredTable(spark, f"file://{path}")
     table.flush(spark.createDataFrame([(0, "put", "a", "1")], "seq long, op string, key string, value string"))
     (path / "manifest.json.tmp").write_text("half")
-    os.makedirs(path / "layer-000099")
+    os.makedirs(path / "layer=99")
     assert [r.value for r in table.read().collect()] == ["1"]
-    assert table.vacuum() == ["layer-000099", "manifest.json.tmp"]
+    assert table.vacuum() == ["layer=99", "manifest.json.tmp"]
     assert not table.flush(spark.createDataFrame([], "seq long, op string, key string, value string"))
     (path / "manifest.json").write_text(json.dumps({"version": 9}))
     (path / ".manifest.json.crc").unlink(missing_ok=True)
@@ -186,6 +186,9 @@ def test_quorum(spark):
 
 
 def test_generated_stream_has_its_mix(spark):
+    wide = oplog.generated(spark, 20_000, seed=3, keys=1 << 16, most=8).collect()
+    assert {len(r.key) for r in wide if r.key} == {2} and {len(r.value) for r in wide if r.value} == set(range(1, 9))
+    assert len({r.key for r in wide}) > 10_000 and all(r.start < r.end for r in wide if r.op == "scan")
     shares = {r.op: r["count"] / 20_000 for r in oplog.generated(spark, 20_000, seed=3).groupBy("op").count().collect()}
     assert all(abs(shares[k] - v) < 0.02 for k, v in {"put": 0.45, "delete": 0.2, "get": 0.2, "scan": 0.15}.items())
 
