@@ -8,8 +8,10 @@ text exactly if all its neighbours are such pairs, so one path is left.
 Cut a text at any places: the state at a cut is the piece that reaches it or goes beyond it. A chunk
 is then a matrix over (state at its start, state at its end) of best sums, and matrices combine by
 the associative max-plus product. Giant texts are split into chunks; each chunk's matrix is made on
-its own, the matrices of a text are combined, which fixes the state at every cut, and each chunk is
-then backtraced on its own.
+its own. The matrices of FAN neighbours are multiplied into one, those of FAN such groups again, until
+FAN or fewer are left for a text; a walk through these fixes the states at their ends, which go down
+level by level to the ends of the chunks, and each chunk is then backtraced on its own. No task ever
+holds more than FAN matrices of a text.
 
 Where no piece can cross a place (before a space that follows another character, in models that
 split at spaces) the scan is at rest, so words between such places are solved once and kept in a
@@ -17,7 +19,9 @@ bounded cache.
 
 A character without a piece costs 10 below the least score and becomes byte pieces; so does a
 literal U+2581 (the library makes it a space), so decoding restores any text. Models with another
-normalisation than identity are refused. Null counts as empty; empty texts have no pieces."""
+normalisation than identity are refused. Null counts as empty; empty texts have no pieces; an empty
+table gives no rows. Of equal sums the first state wins. Repeated rows are encoded each on its own;
+other columns of docs play no part."""
 
 from __future__ import annotations
 
@@ -34,6 +38,8 @@ from .common import mapped, staged
 META, LITERAL, NEVER = "▁", "\ud800", float("-inf")
 #: Characters of a chunk; longer texts are split.
 CHUNK = 1 << 16
+#: Neighbouring matrices that are combined at once.
+FAN = 64
 #: Words whose pieces a worker remembers, in each of two halves.
 CACHE = 400_000
 
@@ -238,19 +244,28 @@ class Encoder:
         return np.concatenate((np.array(head, np.int32), self.encode(text[at[0] : at[1]]), np.array(tail, np.int32)))
 
 
-def states(matrices: list[np.ndarray]) -> list[int]:
-    """The state at each cut of a text, by max-plus products and a walk back from the best end."""
-    sums, froms = np.zeros(1), []
+def states(matrices: list[np.ndarray], enter: int = 0, leave: int | None = None) -> list[int]:
+    """The state at each cut between neighbours whose outer states are given, or the best at the end: sums forward and a walk back."""
+    sums, froms = np.full(len(matrices[0]), -np.inf), []
+    sums[enter] = 0.0
     for m in matrices:
         through = sums[:, None] + m
         froms.append(through.argmax(0))
         sums = through.max(0)
-    out = [int(sums.argmax())]
+    out = [int(sums.argmax()) if leave is None else leave]
     for f in reversed(froms):
         out.append(int(f[out[-1]]))
     return out[::-1]
 
 
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    """The max-plus product of neighbours, which may be taken in any grouping."""
+    out = matrices[0]
+    for m in matrices[1:]:
+        out = np.stack([(row[:, None] + m).max(0) for row in out])
+    return out
+
+
 def decode(model: Model, ids) -> str:
     text = b"".join([model.raw[i] for i in ids]).decode("utf-8", "replace")
     return text[1:] if text.startswith(" ") else text
@@ -308,18 +323,30 @@ def encoded(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         encoder = _encoder(sent)
         for batch in batches:
             made = [encoder.matrix(*seen(*x)) for x in zip(*(batch[c] for c in columns), strict=True)]
-            yield {"row": batch["row"], "start": batch["start"], "enters": [len(m) for m in made], "sums": [m.ravel() for m in made]}
+            yield {"row": batch["row"], "k": [s // chunk for s in batch["start"]], "enters": [len(m) for m in made], "sums": [m.ravel() for m in made]}
+
+    def shaped(parts: list[dict]) -> list[np.ndarray]:
+        return [np.array(p["sums"]).reshape(p["enters"], -1) for p in parts]
 
-    def combined(batches: Iterator[dict]) -> Iterator[dict]:
+    def multiplied(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            out: dict = {"row": [], "start": [], "enter": [], "leave": []}
-            for row, parts in zip(batch["row"], batch["parts"], strict=True):
-                at = states([np.array(p["sums"]).reshape(p["enters"], -1) for p in parts])
-                for k, p in enumerate(parts):
-                    for c, v in (("row", row), ("start", p["start"]), ("enter", at[k]), ("leave", at[k + 1])):
+            made = [product(shaped(parts)) for parts in batch["parts"]]
+            yield {"row": batch["row"], "k": batch["group"], "enters": [len(m) for m in made], "sums": [m.ravel() for m in made]}
+
+    def solved(batches: Iterator[dict]) -> Iterator[dict]:
+        for batch in batches:
+            out: dict = {"row": [], "k": [], "enter": [], "leave": []}
+            for row, parts, enter, leave in zip(*(batch[c] for c in ("row", "parts", "enter", "leave")), strict=True):
+                at = states(shaped(parts), enter, leave)
+                for i, p in enumerate(parts):
+                    for c, v in zip(out, (row, p["k"], at[i], at[i + 1]), strict=True):
                         out[c].append(v)
             yield out
 
+    def grouped(sums: DataFrame, fan: int) -> DataFrame:
+        """(row, group, parts): neighbours in order."""
+        return sums.groupBy("row", F.expr(f"k div {fan}").cast("int").alias("group")).agg(F.array_sort(F.collect_list(F.struct("k", "enters", "sums"))).alias("parts"))
+
     def trace(batches: Iterator[dict]) -> Iterator[dict]:
         encoder = _encoder(sent)
         for batch in batches:
@@ -331,10 +358,19 @@ def encoded(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             good = [decode(sent.value, i) == t for i, t in zip(batch["ids"], batch["text"], strict=True)]
             yield {"id": batch["id"], "ids": batch["ids"], "n_pieces": [len(i) for i in batch["ids"]], "round_trip": good}
 
-    sums = mapped(cut, matrices, "row long, start int, enters int, sums array<double>")
-    # A text of at most 2 GB has at most 32,768 chunks of a few kB each.
-    parts = sums.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "enters", "sums"))).alias("parts"))
-    at = mapped(parts, combined, "row long, start int, enter int, leave int")
+    matrix = "row long, k int, enters int, sums array<double>"
+    levels = [staged(mapped(cut, matrices, matrix), "matrices")]
+    most = -(-(giant.agg(F.max(F.length("text"))).first()[0] or 0) // chunk)
+    while most > FAN:
+        levels.append(staged(mapped(grouped(levels[-1], FAN), multiplied, matrix), "matrices"))
+        most = -(-most // FAN)
+    solution = "row long, k int, enter int, leave int"
+    # At the top a text has one group of FAN matrices at most.
+    top = grouped(levels[-1], FAN).select("row", "parts", F.lit(0).alias("enter"), F.lit(None).cast("int").alias("leave"))
+    at = mapped(top, solved, solution)
+    for lower in reversed(levels[:-1]):
+        at = mapped(grouped(lower, FAN).join(at.withColumnRenamed("k", "group"), ["row", "group"]), solved, solution)
+    at = at.select("row", (F.col("k") * chunk).alias("start"), "enter", "leave")
     traced = mapped(cut.join(at, ["row", "start"]), trace, "row long, start int, ids array<int>")
     joined = traced.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "ids"))), lambda p: p["ids"])).alias("ids"))
     large = mapped(joined.join(giant, "row").select("id", "ids", "text"), checked, f"id {kind}, ids array<int>, n_pieces long, round_trip boolean")

@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 import sentencepiece
 
-from foldstone.llm.pieces import Encoder, Model, around, decode, encoded, marked, states
+from foldstone.llm import pieces
+from foldstone.llm.pieces import Encoder, Model, around, decode, encoded, marked, product, states
 from foldstone.llm.queries import PIECES
 
 from .conftest import prose
@@ -58,8 +59,25 @@ def test_chunks_give_the_whole_scan(model, change):
 def test_matrices_combine_in_any_order(model):
     encoder, t = Encoder(model._replace(split=False)), "thetionthe ingtion" * 3
     a, b, c = (encoder.matrix(*around(t, s, 18, model.longest)) for s in range(0, 54, 18))
-    times = lambda x, y: (x[:, :, None] + y[None]).max(1)
-    assert np.array_equal(times(times(a, b), c), times(a, times(b, c)))
+    assert np.array_equal(product([product([a, b]), c]), product([a, product([b, c])]))
+    assert np.array_equal(product([a, b, c]), product([product([a, b]), c]))
+
+
+@pytest.mark.parametrize("fan", [2, 3])
+def test_levels_fix_the_states_of_one_walk(fan):
+    """Random matrices, combined in groups and solved from the top down, against one walk through all."""
+    r = np.random.default_rng(fan)
+    for n in range(1, 12):
+        sizes = [1, *r.integers(1, 5, n)]
+        chunks = [r.normal(size=(a, b)) for a, b in zip(sizes, sizes[1:], strict=False)]
+        levels = [chunks]
+        while len(levels[-1]) > fan:
+            levels.append([product(levels[-1][i : i + fan]) for i in range(0, len(levels[-1]), fan)])
+        at = states(levels[-1])
+        for lower in reversed(levels[:-1]):
+            groups = [lower[i : i + fan] for i in range(0, len(lower), fan)]
+            at = [0] + [x for g, e, v in zip(groups, at, at[1:], strict=False) for x in states(g, e, v)[1:]]
+        assert at == states(chunks)
 
 
 def test_unigram_scan_is_the_best_of_all(model):
@@ -77,9 +95,10 @@ def test_unigram_scan_is_the_best_of_all(model):
         assert abs(encoder.best(t)[0] - best(t)) < 1e-9
 
 
-def test_operator(model, docs, odd):
+def test_operator(model, docs, odd, monkeypatch):
     lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    for chunk in (1 << 16, 700):
+    for chunk, fan in ((1 << 16, 64), (700, 64), (3000, 4)):
+        monkeypatch.setattr(pieces, "FAN", fan)
         rows = encoded(docs(odd), model, chunk=chunk).collect()
         assert len(rows) == len(odd)
         for r in rows:
