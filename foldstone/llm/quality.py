@@ -1,7 +1,9 @@
 """Quality rules: a threshold table that is compiled into one projection, without user functions.
 
 Words are runs of other than space and bytes 9 to 13. Null texts have no words. Every measure of a
-text without words is 0 and such a text fails the rules of length."""
+text without words is 0 and such a text fails the rules of length. A measure that is equal to a bound
+keeps it. Repeated rows are judged each on its own, very long texts whole; an empty table gives no
+rows. Other columns of docs play no part in quality() and are carried by good_rows()."""
 
 from __future__ import annotations
 
@@ -10,17 +12,17 @@ from pyspark.sql import functions as F
 
 from .common import SPACE
 
-#: (name, measure, least, most): a document is kept if every measure lies between its bounds.
+#: (name, measure, least, most, words): a document of so many words or more is kept if every measure lies between its bounds.
 #: Ratios are to words, or to lines that have a word.
-RULES: tuple[tuple[str, str, float | None, float | None], ...] = (
-    ("length", "n_words", 10, None),
-    ("word_length", "word_chars / n_words", 2, 12),
-    ("symbols", "n_symbols / n_words", None, 0.1),
-    ("loud", "n_bangs / n_words", None, 0.1),
-    ("duplicate_lines", "n_dup_lines / n_lines", None, 0.5),
-    ("repeats", "n_repeat_words / n_words", None, 0.2),
-    ("stutter", "n_stutters / n_words", None, 0.3),
-    ("stop_words", "n_stop_words / n_words", 0.002, None),
+RULES: tuple[tuple[str, str, float | None, float | None, int], ...] = (
+    ("length", "n_words", 10, None, 0),
+    ("word_length", "word_chars / n_words", 2, 12, 0),
+    ("symbols", "n_symbols / n_words", None, 0.1, 0),
+    ("loud", "n_bangs / n_words", None, 0.1, 0),
+    ("duplicate_lines", "n_dup_lines / n_lines", None, 0.5, 0),
+    ("repeats", "n_repeat_words / n_words", None, 0.2, 0),
+    ("stutter", "n_stutters / n_words", None, 0.3, 0),
+    ("stop_words", "n_stop_words / n_words", 0.002, None, 50),
 )
 #: Very common words of the four languages; texts of 50 words or more have at least a few.
 STOP_WORDS = ("the", "of", "and", "to", "in", "is", "that", "it", "for", "a", "der", "die", "und", "den", "das", "ein", "zu", "mit", "von", "le", "la", "de", "les", "et", "en", "un", "que", "el", "los", "y", "las", "se", "des", "ist", "nicht", "dans", "pour")
@@ -79,15 +81,11 @@ def measures(text: Column) -> dict[str, Column]:
 def compiled(rules=RULES) -> Column:
     """One boolean expression of a threshold table; a ratio to nothing counts as 0."""
     verdict = F.lit(True)
-    for _, measure, least, most in rules:
+    for _, measure, least, most, words in rules:
         over, _, under = measure.partition(" / ")
         value = F.coalesce(F.try_divide(F.col(over), F.col(under)), F.lit(0.0)) if under else F.col(over)
-        if under and least is not None and over == "n_stop_words":
-            verdict &= (F.col("n_words") < 50) | (value >= least)
-        elif least is not None:
-            verdict &= value >= least
-        if most is not None:
-            verdict &= value <= most
+        for holds in ([] if least is None else [value >= least]) + ([] if most is None else [value <= most]):
+            verdict &= (F.col("n_words") < words) | holds if words else holds
     return verdict
 
 

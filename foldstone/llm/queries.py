@@ -78,12 +78,12 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _rule_sql(measure: str, least: float | None, most: float | None) -> str:
+def _rule_sql(measure: str, least: float | None, most: float | None, words: int) -> str:
     over, _, under = measure.partition(" / ")
     value = f"coalesce({over} / nullif({under}, 0), 0)" if under else over
     parts = ([f"{value} >= {least}"] if least is not None else []) + ([f"{value} <= {most}"] if most is not None else [])
     own = " and ".join(parts)
-    return f"(n_words < 50 or {own})" if over == "n_stop_words" else f"({own})"
+    return f"(n_words < {words} or {own})" if words else f"({own})"
 
 
 ORACLES["op5_quality"] = f"""with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
