@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from foldstone.operators.front import accepted, as_operations, byte_bucket, responses
+from foldstone.operators.front import accepted, as_operations, byte_bucket, good, responses
 from foldstone.operators.layers import LayeredTable
 from foldstone.sources.oplog import mutations, numbered
 
@@ -40,7 +40,7 @@ def serve(table: LayeredTable, lines: DataFrame, out: str, checkpoint: str, buck
         asked = accepted(placed)
         if number > table.manifest().last_batch:
             table.flush(as_operations(asked).where(F.col("op").isin("put", "delete")).select("seq", "op", "key", "value"), number)
-            if not asked.where("op = 'compact' and code is null").isEmpty():
+            if not good(asked).where("op = 'compact' and _row >= 0").isEmpty():
                 table.compact(of_batch=True)
             table.maintain()
         m = table.manifest()
