@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldstone.functions.encoding import to_base64
-from foldstone.functions.limits import SCAN_LIMIT_MOST, clamped_limit, violation
+from foldstone.functions.limits import clamped_limit, violation
 from foldstone.sources.oplog import from_requests
 
 from .fold import BLOCK
-from .replay import point_results, scan_pairs
+from .replay import first_pairs, point_results
 
 PAIRS = "array<struct<key_b64: string, value_b64: string>>"
 
@@ -39,10 +37,10 @@ STATS = ("flushes", "flushed_records", "flushed_bytes", "compactions", "compacte
 ADMIN = ("sync", "flush", "compact", "stats")
 
 
-def responses(view: DataFrame, lines: DataFrame, bucket: Callable[[Column], Column], block: int = BLOCK, merged: bool = False, stats: dict[str, int] | None = None) -> DataFrame:
+def responses(view: DataFrame, lines: DataFrame, block: int = BLOCK, merged: bool = False, stats: dict[str, int] | None = None) -> DataFrame:
     """(seq_in, response) for each of lines(seq_in, line); view(key, value) is the state before, in binary.
 
-    The view counts as puts before the first line. bucket is a monotone long of a key, for scans.
+    The view counts as puts before the first line. A scan meets no more of the view's keys than its limit.
     merged and stats are what the caller did for the batch and how it stands then: the first compact
     of a batch is answered with merged, later ones with false, stats with stats (none: no answer of
     that kind is given, the request is refused)."""
@@ -53,15 +51,15 @@ def responses(view: DataFrame, lines: DataFrame, bucket: Callable[[Column], Colu
         stats = {}
     ops = as_operations(requests)
     null = F.lit(None).cast("binary")
-    before = view.select(F.lit(-1).cast("long").alias("seq"), F.lit("put").alias("op"), "key", "value", null.alias("start"), null.alias("end"))
-    log = before.unionByName(ops.where(F.col("op").isin("put", "delete", "get", "scan")).drop("limit"))
+    before = view.select(F.lit(-1).cast("long").alias("seq"), F.lit("put").alias("op"), "key", "value", null.alias("start"), null.alias("end"), F.lit(None).cast("long").alias("most"))
+    ops = ops.where(F.col("op").isin("put", "delete", "get", "scan")).withColumn("most", clamped_limit(F.col("limit")).cast("long")).drop("limit")
+    log = before.unionByName(ops)
     points = point_results(log, block).where("seq >= 0").select(F.col("seq").alias("seq_in"), "observed", "was_live")
-    limits = ops.where("op = 'scan'").select(F.col("seq").alias("scan"), clamped_limit(F.col("limit")).alias("most"))
+    limits = ops.where("op = 'scan'").select(F.col("seq").alias("scan"), "most")
     pair = F.struct("key", to_base64(F.col("key")).alias("key_b64"), to_base64(F.col("value")).alias("value_b64"))
     place = F.row_number().over(Window.partitionBy("scan").orderBy("key"))
-    # The fixed bound is applied before the shuffle, so no scan brings more pairs together than it may return.
-    seen = scan_pairs(log, bucket, block).withColumn("place", place).where(F.col("place") <= SCAN_LIMIT_MOST)
-    seen = seen.join(limits, "scan").where(F.col("place") <= F.col("most")).groupBy(F.col("scan").alias("seq_in"))
+    seen = first_pairs(log, 0, block).withColumn("place", place).join(limits, "scan")
+    seen = seen.where(F.col("place") <= F.col("most")).groupBy(F.col("scan").alias("seq_in"))
     found = F.transform(F.array_sort(F.collect_list(pair)), lambda p: F.struct(p["key_b64"].alias("key_b64"), p["value_b64"].alias("value_b64")))
     pairs = seen.agg(found.alias("found"))
     # The place of the batch's first compact: one row.
@@ -77,12 +75,3 @@ def responses(view: DataFrame, lines: DataFrame, bucket: Callable[[Column], Colu
         F.when(ok & (F.col("op") == "stats"), F.struct(*(F.lit(stats.get(k, 0)).cast("long").alias(k) for k in STATS))).alias("stats"),
     )
     return told.select("seq_in", F.to_json(line).alias("response"))
-
-
-def byte_bucket(places: int = 2) -> Callable[[Column], Column]:
-    """A monotone long of a binary key: its first bytes, missing ones as 0."""
-
-    def of(key: Column) -> Column:
-        return F.conv(F.rpad(F.hex(F.substring(key, 1, places)), 2 * places, "0"), 16, 10).cast("long")
-
-    return of

@@ -8,10 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldstone.functions.encoding import to_base64
+from foldstone.sources.oplog import summed_before
 
 from .fold import BLOCK, with_previous
 from .reads import range_join
 
+#: Neighbouring keys that a scan with a limit meets by one join key.
+STRETCH = 1024
+
 
 def point_results(ops: DataFrame, block: int = BLOCK) -> DataFrame:
     """(seq, op, key, observed, was_live) for each put, delete and get: the value just before, and whether there was one."""
@@ -20,6 +24,13 @@ def point_results(ops: DataFrame, block: int = BLOCK) -> DataFrame:
     return told.select("seq", "op", "key", F.when(was, F.col("prev.value")).alias("observed"), was.alias("was_live"))
 
 
+def _seen(changes: DataFrame, met: DataFrame, block: int) -> DataFrame:
+    """(scan, key, value) of those met(scan, key) whose newest mutation before the scan is a put."""
+    asked = met.select(F.col("scan").alias("seq"), F.lit("see").alias("op"), "key", F.lit(None).cast(dict(changes.dtypes)["value"]).alias("value"))
+    told = with_previous(changes.unionByName(asked), block).where("op = 'see' and prev.op = 'put'")
+    return told.select(F.col("seq").alias("scan"), "key", F.col("prev.value").alias("value"))
+
+
 def scan_pairs(ops: DataFrame, bucket: Callable[[Column], Column], block: int = BLOCK) -> DataFrame:
     """(scan, key, value) for each pair that each scan saw; bucket is a monotone long of a key.
 
@@ -29,9 +40,30 @@ def scan_pairs(ops: DataFrame, bucket: Callable[[Column], Column], block: int =
     scans = ops.where("op = 'scan' and start < end").select(F.col("seq").alias("scan"), "start", "end")
     keys = changes.select("key").distinct()
     met = range_join(keys, "key", scans, "start", "end", bucket(F.col("key")), bucket(F.col("start")), bucket(F.col("end")))
-    asked = met.select(F.col("scan").alias("seq"), F.lit("see").alias("op"), "key", F.lit(None).cast(dict(changes.dtypes)["value"]).alias("value"))
-    told = with_previous(changes.unionByName(asked), block).where("op = 'see' and prev.op = 'put'")
-    return told.select(F.col("seq").alias("scan"), "key", F.col("prev.value").alias("value"))
+    return _seen(changes, met, block)
+
+
+def first_pairs(ops: DataFrame, since: int = 0, block: int = BLOCK) -> DataFrame:
+    """(scan, key, value) of what each scan saw, at least its first pairs up to its column most; ops has that column too.
+
+    Keys are counted in their order, so a scan is a stretch of places, and stretches of equal length
+    are the join key: keys with a common prefix don't meet in one task. A key that was put before
+    since and is never deleted is sure to be seen, so a scan ends at the sure key after its first
+    most ones: it meets so many, and keys that the operations from since on have touched."""
+    changes = ops.where(F.col("op").isin("put", "delete")).select("seq", "op", "key", "value")
+    scans = ops.where("op = 'scan' and start < end").select(F.col("seq").alias("scan"), "start", "end", "most")
+    sure = (F.min("seq") < since) & ~F.bool_or(F.col("op") == "delete")
+    keys = changes.groupBy("key").agg(F.lit(1).alias("real"), sure.cast("int").alias("sure"))
+    bounds = scans.select("scan", "most", F.explode(F.array("start", "end")).alias("key"))
+    values = keys.unionByName(bounds.select("key", F.lit(0).alias("real"), F.lit(0).alias("sure"))).groupBy("key").agg(F.max("real").alias("real"), F.max("sure").alias("sure"))
+    placed = summed_before(values, "key", {"place": F.col("real"), "passed": F.col("sure")})
+    stops = placed.where("sure = 1").select(F.col("passed").alias("stop"), F.col("place").alias("stop_at"))
+    stop = (F.min("passed") + F.col("most")).alias("stop")
+    asked = bounds.join(placed, "key").groupBy("scan", "most").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), stop).join(stops, "stop", "left")
+    asked = asked.select("scan", "lo", F.least("hi", "stop_at").alias("hi")).where("lo < hi")
+    dealt = asked.withColumn("_stretch", F.explode(F.expr(f"sequence(lo div {STRETCH}, (hi - 1) div {STRETCH})")))
+    met = placed.where("real = 1").select("key", "place", F.expr(f"place div {STRETCH}").alias("_stretch")).join(dealt, "_stretch").where("lo <= place and place < hi")
+    return _seen(changes, met, block)
 
 
 def scan_results(ops: DataFrame, bucket: Callable[[Column], Column], block: int = BLOCK) -> DataFrame:

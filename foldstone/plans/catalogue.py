@@ -345,7 +345,7 @@ def wire_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of scan requests with limits among writes, from an empty store."""
     ops = oplog.from_events(spark, sf_dir)
     empty = spark.createDataFrame([], "key binary, value binary")
-    told = front.responses(empty, _request_lines(ops), lambda k: F.substring(k.cast("string"), 2, 20).cast("long"))
+    told = front.responses(empty, _request_lines(ops))
     return told.join(ops.where("op = 'scan'").select(F.col("seq").alias("seq_in")), "seq_in", "left_semi")
 
 
@@ -366,7 +366,7 @@ def wire_admin(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged, m = made.compact(), made.manifest()
     lines = spark.createDataFrame([(i, f'{{"seq":{i},"op":"{op}"}}') for i, op in enumerate(front.ADMIN, 1)], "seq_in long, line string")
     none = made.read().select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))
-    return front.responses(none, lines, lambda k: F.lit(0).cast("long"), merged=merged, stats=m.stats | {"tables": len(m.layers)}).select("response")
+    return front.responses(none, lines, merged=merged, stats=m.stats | {"tables": len(m.layers)}).select("response")
 
 
 @query("base64_roundtrip", "select page_id, base64(encode(url)) as coded, true as same from pages")

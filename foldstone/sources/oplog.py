@@ -51,20 +51,26 @@ def generated(spark: SparkSession, n: int, seed: int, keys: int = 8, most: int =
     )
 
 
-def numbered(writes: DataFrame, order: str, base: int = 0, ranges: int = 64) -> DataFrame:
-    """Dense sequence numbers from base in the order of a column, without one task for all rows.
+def summed_before(rows: DataFrame, order: str, of: dict[str, Column], ranges: int = 64) -> DataFrame:
+    """rows with, under each name of of, the sum of that column over all rows before, in the order of a column, without one task for all rows.
 
-    Rows are dealt to ranges of values, whose bounds are the values of least hash; each range's count
-    gives the ones above it their offset. A row's range depends on its value alone, so a retried task
-    or another plan gives the same number. Rows of equal values are numbered in any order."""
-    some = writes.select(order).where(F.col(order).isNotNull()).distinct().orderBy(F.xxhash64(order)).limit(ranges - 1)
+    Rows are dealt to ranges of values, whose bounds are the values of least hash; each range's sums
+    give the ones above it their offsets. A row's range depends on its value alone, so a retried task
+    or another plan gives the same sums. Rows of equal values stand in any order."""
+    some = rows.select(order).where(F.col(order).isNotNull()).distinct().orderBy(F.xxhash64(order)).limit(ranges - 1)
     bounds = [r[0] for r in some.orderBy(order).collect()]  # fewer than ranges
     at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order))) if bounds else F.lit(0)
-    placed = writes.withColumn("_range", F.coalesce(at, F.lit(0)))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = placed.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", before.alias("_offset"))
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
-    return placed.withColumn("_own", own).join(F.broadcast(offsets), "_range").withColumn("seq", F.lit(base) + F.col("_offset") + F.col("_own")).drop("_range", "_own", "_offset")
+    placed = rows.withColumns({f"_n_{c}": v for c, v in of.items()}).withColumn("_range", F.coalesce(at, F.lit(0)))
+    above, own = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (Window.orderBy("_range"), Window.partitionBy("_range").orderBy(order)))
+    until = lambda c, w: F.coalesce(F.sum(f"_n_{c}").over(w), F.lit(0))
+    offsets = placed.groupBy("_range").agg(*(F.sum(f"_n_{c}").alias(f"_n_{c}") for c in of)).select("_range", *(until(c, above).alias(f"_offset_{c}") for c in of))
+    told = placed.withColumns({f"_own_{c}": until(c, own) for c in of}).join(F.broadcast(offsets), "_range")
+    return told.withColumns({c: F.col(f"_offset_{c}") + F.col(f"_own_{c}") for c in of}).drop("_range", *(f"_{k}_{c}" for k in ("n", "own", "offset") for c in of))
+
+
+def numbered(writes: DataFrame, order: str, base: int = 0, ranges: int = 64) -> DataFrame:
+    """Dense sequence numbers from base in the order of a column; rows of equal values are numbered in any order."""
+    return summed_before(writes, order, {"seq": F.lit(1)}, ranges).withColumn("seq", F.lit(base) + F.col("seq"))
 
 
 def first_gap(ops: DataFrame) -> DataFrame:

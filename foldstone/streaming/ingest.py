@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from foldstone.operators.front import accepted, as_operations, byte_bucket, good, responses
+from foldstone.operators.front import accepted, as_operations, good, responses
 from foldstone.operators.layers import LayeredTable
 from foldstone.sources.oplog import mutations, numbered
 
@@ -26,7 +26,7 @@ def op_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def serve(table: LayeredTable, lines: DataFrame, out: str, checkpoint: str, bucket=None) -> StreamingQuery:
+def serve(table: LayeredTable, lines: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Answer streams of request lines: the writes of batch n become a layer, then its responses are written to out/batch=n.
 
     lines has a column value. Reads see the writes before them. sync, flush, compact and stats act once
@@ -45,7 +45,7 @@ def serve(table: LayeredTable, lines: DataFrame, out: str, checkpoint: str, buck
             table.maintain()
         m = table.manifest()
         if number == m.last_batch:
-            made = responses(table.read(of=m.before), placed, bucket or byte_bucket(), merged=m.merged, stats=m.stats | {"tables": len(m.layers)})
+            made = responses(table.read(of=m.before), placed, merged=m.merged, stats=m.stats | {"tables": len(m.layers)})
             made.orderBy("seq_in").select(F.col("response").alias("value")).write.mode("overwrite").text(f"{out}/batch={number}")
         placed.unpersist()
         read.unpersist()

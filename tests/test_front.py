@@ -8,8 +8,9 @@ import pytest
 
 from foldstone.cli import run
 from foldstone.functions.limits import EngineError
-from foldstone.operators.front import byte_bucket, responses
+from foldstone.operators.front import responses
 from foldstone.operators.layers import LayeredTable
+from foldstone.operators.replay import first_pairs
 from foldstone.streaming.ingest import serve
 
 
@@ -65,15 +66,31 @@ def test_batch_is_a_dictionary(spark):
     view = spark.createDataFrame(list(state.items()), "key binary, value binary")
     lines = requests(3, 250)
     table = spark.createDataFrame(list(enumerate(lines)), "seq_in long, line string")
-    got = [json.loads(r.response) for r in responses(view, table, byte_bucket(), 50, stats={}).orderBy("seq_in").collect()]
+    got = [json.loads(r.response) for r in responses(view, table, 50, stats={}).orderBy("seq_in").collect()]
     assert got == answers(state, lines)
 
 
+def test_scans_meet_no_more_keys_than_their_limit(spark):
+    """3,000 keys of one prefix; a batch that deletes and puts among them, and scans with limits from its first line on."""
+    state = {b"user/%04d" % k: b"%d" % k for k in range(0, 6000, 2)}
+    view = spark.createDataFrame(list(state.items()), "key binary, value binary")
+    change = lambda i, op, k: json.dumps({"seq": i, "op": op, "key_b64": b(b"user/%04d" % k)} | ({"value_b64": b(b"new")} if op == "put" else {}))
+    scan = lambda i, lo, hi, most: json.dumps({"seq": i, "op": "scan", "start_b64": b(lo), "end_b64": b(hi), "limit": most})
+    lines = [scan(0, b"user/", b"user0", 3)] + [change(i, "delete", 2 * i) for i in range(30)] + [change(i, "put", 2 * i + 1) for i in range(20, 60)]
+    lines += [scan(1, b"user/", b"user0", 4), scan(2, b"user/0041", b"user/0050", 50), scan(3, b"user/5990", b"v", 7), scan(4, b"a", b"b", 5), scan(5, b"user/2000", b"user/5000", 2000)]
+    table = spark.createDataFrame(list(enumerate(lines)), "seq_in long, line string")
+    got = [json.loads(r.response) for r in responses(view, table).orderBy("seq_in").collect()]
+    assert got == answers(dict(state), lines)
+    ops = [(-1, "put", k, v, None, None, None) for k, v in state.items()] + [(0, "delete", b"user/0000", None, None, None, None), (1, "scan", None, None, b"user/", b"user0", 10)]
+    log = spark.createDataFrame(ops, "seq long, op string, key binary, value binary, start binary, end binary, most long")
+    assert first_pairs(log).count() == 10
+
+
 def test_garbage_gets_an_answer(spark):
     lines = ["", "{", "[1]", "null", '{"seq": 3, "op": "drop"}', '{"seq":1,"op":"get"}', '{"seq":1,"op":"scan","start_b64":"AA==","end_b64":"AQ==","limit":-1}']
     view = spark.createDataFrame([], "key binary, value binary")
     table = spark.createDataFrame(list(enumerate(lines)), "seq_in long, line string")
-    got = [json.loads(r.response) for r in responses(view, table, byte_bucket()).orderBy("seq_in").collect()]
+    got = [json.loads(r.response) for r in responses(view, table).orderBy("seq_in").collect()]
     assert [g["code"] for g in got] == ["INVALID_ARGUMENT"] * len(lines)
     assert not any(g["ok"] for g in got)
 
@@ -109,7 +126,7 @@ def test_admin_requests_act(spark, tmp_path):
         assert got == want
         assert (table.manifest().layers, table.vacuum()) == ([2], ["layer=1"] if attempt == 0 else [])
     assert {bytes(r.key): bytes(r.value) for r in table.read().collect()} == {b"b": b"2", b"c": b"33"}
-    (r,) = responses(table.read(), spark.createDataFrame([(0, '{"seq":1,"op":"flush"}')], "seq_in long, line string"), byte_bucket()).collect()
+    (r,) = responses(table.read(), spark.createDataFrame([(0, '{"seq":1,"op":"flush"}')], "seq_in long, line string")).collect()
     assert not json.loads(r.response)["ok"]
 
 
