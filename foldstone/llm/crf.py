@@ -7,10 +7,14 @@ speak for toxicity far beyond chance. The field is then fitted on these, forward
 give each word's chance to be toxic, and a logistic curve over a document's expected number of
 toxic words gives its score. Words of marginal 0.5 or more are the offending spans.
 
-The fit takes at most SAMPLE labelled documents of each label, chosen by a hash of the id, in one
-task; everything else runs over all rows. Without labelled rows of both kinds all scores are 0.
+The fit takes at most SAMPLE labelled documents of each label, chosen by a hash of the id, and of these
+as many as CHARS characters hold (one text may go beyond), in one task; everything else runs over all
+rows. Without labelled rows of both kinds all scores are 0. The bound on evidence falls where there are
+few toxic documents, with what a feature of all of them and no other could reach.
+
 Null texts are empty; a text without words gets the score of zero toxic words; repeated rows are
-scored each on its own."""
+scored each on its own. Of several texts with one id the least teaches, of several labels the highest.
+Empty tables give no rows; other columns of both tables play no part."""
 
 from __future__ import annotations
 
@@ -20,15 +24,19 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold_mod, mapped, text_blocks
 
 #: Labelled documents of each label that the fit takes at most.
 SAMPLE = 3000
+#: Characters of each label's documents that the fit takes.
+CHARS = 50_000_000
 #: Feature slots, passes of the fit, and the evidence a feature needs to label words.
 SLOTS, PASSES, EVIDENCE, ODDS = 1 << 18, 30, 30.0, 15.0
+#: The share of the most that a feature could reach that is evidence enough.
+REACH = 0.35
 #: Least chance of a word that counts towards its document.
 FLOOR = 0.2
 #: Words whose emissions a task remembers.
@@ -110,7 +118,8 @@ def _evidence(texts: list[list[int]], toxic: np.ndarray, known: list[list[int]])
         expected = np.stack((total * (1 - base), total * base))
         g = 2 * np.where(counts > 0, counts * np.log(counts / expected), 0).sum(0)
         odds = ((counts[1] + 0.1) / docs[1]) / ((counts[0] + 0.5) / docs[0])
-    return (g >= EVIDENCE) & (odds >= ODDS)
+    reach = -2 * docs[1] * np.log(base)
+    return (g >= min(EVIDENCE, REACH * reach)) & (odds >= ODDS)
 
 
 class Field:
@@ -203,15 +212,12 @@ def _field(texts: list[str], toxic: np.ndarray) -> Field:
 
 
 def _fitted(sample: DataFrame) -> Field | None:
-    """Fit in one task over a bounded sample; the driver gets the weights."""
+    """Fit in one task over a bounded sample, in the order of its ranks; the driver gets the weights."""
 
     def train(batches: Iterator[dict]) -> Iterator[dict]:
-        texts, toxic = [], []
-        for batch in batches:
-            texts += [t or "" for t in batch["text"]]
-            toxic += batch["toxic"]
-        if len(set(toxic)) == 2:
-            f = fit(texts, np.array(toxic, bool))
+        rows = sorted(row for batch in batches for row in zip(batch["rank"], batch["text"], batch["toxic"], strict=True))
+        if len({toxic for _, _, toxic in rows}) == 2:
+            f = fit([text for _, text, _ in rows], np.array([toxic for _, _, toxic in rows], bool))
             at = np.flatnonzero(f.weights)
             yield {"at": [*range(-9, 0), *at.tolist()], "value": np.concatenate((f.turn.ravel(), f.start, f.curve, f.weights[at]))}
 
@@ -224,7 +230,7 @@ def _fitted(sample: DataFrame) -> Field | None:
     return Field(weights, head[:4].reshape(2, 2), head[4:6], head[6:9])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, chars: int = CHARS) -> DataFrame:
     """(id_col, held_out, score, predicted, spans) for each row of docs; rows that are held_out teach nothing.
 
     held_out is a column of docs and never null. spans: start:end of the offending words in code points."""
@@ -234,8 +240,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str =
     # The sample's ids are chosen among the labelled ids alone; only their texts are then read.
     one = given.where("not held_out").select("id").distinct().join(one, "id")
     some = [one.where(F.col("toxic") == k).orderBy(F.xxhash64("id"), "id").limit(sample) for k in (0, 1)]
-    chosen = given.where("not held_out").join(F.broadcast(some[0].union(some[1])), "id").dropDuplicates(["id"]).orderBy(F.xxhash64("id")).select("text", "toxic")
-    field = _fitted(chosen)
+    chosen = given.where("not held_out").join(F.broadcast(some[0].union(some[1])), "id").groupBy("id", "toxic").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
+    before = F.sum(F.length("text")).over(Window.partitionBy("toxic").orderBy("rank", "id").rowsBetween(Window.unboundedPreceding, -1))
+    chosen = chosen.withColumn("rank", F.xxhash64("id")).withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < chars)
+    field = _fitted(chosen.select("rank", "text", "toxic"))
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
     def apply(batches: Iterator[dict]) -> Iterator[dict]:

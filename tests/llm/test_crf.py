@@ -71,6 +71,25 @@ def test_labels_of_held_out_rows_teach_nothing(spark, docs):
     assert made[0] == made[1]
 
 
+def test_few_toxic_documents_are_enough_and_order_does_not_matter():
+    texts, toxic = labelled(60, 7)
+    field = fit(texts, np.array(toxic, bool))
+    more, labels = labelled(100, 8)
+    found = [field.score(c) >= 0.5 for c in field.chances(more)]
+    assert np.mean(np.array(found) == labels) > 0.95
+
+
+def test_repeated_ids_and_the_bound_on_characters(spark, docs):
+    texts, toxic = labelled(200, 9)
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    ids = [*range(200), 3, 3, 5]
+    both = [toxicity(docs([*texts, *more], ids).repartition(n), labels, F.lit(False)) for n, more in ((1, ["~~ a", "~~ b", "~~ c"]), (7, ["~~ c", "~~ a", "~~ b"]))]
+    one, two = ({r.doc_id: r.score for r in made.collect() if r.doc_id not in (3, 5)} for made in both)
+    assert one == two and any(s >= 0.5 for s in one.values())
+    bounded = toxicity(docs(texts), labels, F.lit(False), chars=20_000).collect()
+    assert len(bounded) == 200 and np.mean([r.predicted == toxic[r.doc_id] for r in bounded]) > 0.95
+
+
 def test_odd_texts(spark, docs, odd):
     texts, toxic = labelled(150, 5)
     labels = spark.createDataFrame([*enumerate(toxic), (3, 1), (None, 1), (4, None)], "doc_id long, toxic int")
