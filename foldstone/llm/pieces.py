@@ -37,7 +37,7 @@ from .common import mapped, staged
 
 META, LITERAL, NEVER = "▁", "\ud800", float("-inf")
 #: Characters of a chunk; longer texts are split.
-CHUNK = 1 << 16
+CHUNK = 1 << 14
 #: Neighbouring matrices that are combined at once.
 FAN = 64
 #: Words whose pieces a worker remembers, in each of two halves.
@@ -308,12 +308,19 @@ def encoded(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     giant = staged(texts.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id()), "giant")
     reach = model.longest
-    cut = giant.select("row", F.length("text").alias("length"), "text", F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(chunk))).alias("start"))
-    size = F.least(F.lit(chunk), F.col("length") - F.col("start"))
-    left = F.least(F.col("start"), F.lit(reach))
-    cut = cut.select("row", "start", left.alias("left"), size.alias("size"), F.substring("text", F.col("start") - left + 1, left + size + reach).alias("text"))
     columns = ("text", "start", "left", "size")
 
+    def parted(parts: DataFrame, most: int) -> DataFrame:
+        """Parts of most characters, each with the place where it starts in its text and reach characters around."""
+        at = parts.select("row", *columns, F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(most))).alias("at"))
+        left = F.least(F.col("left") + F.col("at"), F.lit(reach))
+        size = F.least(F.lit(most), F.col("size") - F.col("at"))
+        text = F.substring("text", F.col("left") + F.col("at") - left + 1, left + size + reach)
+        return at.select("row", text.alias("text"), (F.col("start") + F.col("at")).alias("start"), left.alias("left"), size.alias("size"))
+
+    # A substring is found by walking from the text's start, so giant texts are first cut into parts of FAN chunks.
+    cut = parted(parted(giant.select("row", "text", F.lit(0).alias("start"), F.lit(0).alias("left"), F.length("text").alias("size")), FAN * chunk), chunk)
+
     def seen(text: str, start: int, left: int, size: int) -> tuple[str, int, int]:
         """As around(), of a part that has left characters before the chunk."""
         begins = start == left
