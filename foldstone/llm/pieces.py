@@ -25,6 +25,7 @@ other columns of docs play no part."""
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 from .common import mapped, staged
 
 META, LITERAL, NEVER = "▁", "\ud800", float("-inf")
+_REST = re.compile(f"(?<!{META}){META}")
 #: Characters of a chunk; longer texts are split.
 CHUNK = 1 << 14
 #: Neighbouring matrices that are combined at once.
@@ -102,8 +104,14 @@ def merged(model: Model, text: str) -> list[str]:
 
 def rests(model: Model, text: str, lo: int, hi: int) -> tuple[int, int] | None:
     """The first and last place in lo+1..hi-1 that no piece crosses."""
-    at = [i for i in range(max(1, lo + 1), hi) if text[i] == META != text[i - 1]] if model.split else []
-    return (at[0], at[-1]) if at else None
+    start = max(1, lo + 1)
+    first = _REST.search(text, start, hi) if model.split else None
+    if not first:
+        return None
+    last = text.rfind(META, start, hi)
+    while text[last - 1] == META:
+        last = text.rfind(META, start, last)
+    return first.start(), last
 
 
 Span = tuple[int, int]

@@ -56,6 +56,15 @@ def test_chunks_give_the_whole_scan(model, change):
                 assert got == whole
 
 
+def test_rests_are_the_spaces_after_other_characters(model):
+    r = random.Random(2)
+    for _ in range(400):
+        t = "".join(r.choice("ab▁▁") for _ in range(r.randint(1, 9)))
+        lo, hi = sorted((r.randint(0, len(t)), r.randint(0, len(t))))
+        at = [i for i in range(max(1, lo + 1), hi) if t[i] == "▁" != t[i - 1]]
+        assert pieces.rests(model, t, lo, hi) == ((at[0], at[-1]) if at else None)
+
+
 def test_matrices_combine_in_any_order(model):
     encoder, t = Encoder(model._replace(split=False)), "thetionthe ingtion" * 3
     a, b, c = (encoder.matrix(*around(t, s, 18, model.longest)) for s in range(0, 54, 18))
