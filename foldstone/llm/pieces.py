@@ -274,8 +274,12 @@ def product(matrices: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def spelled(model: Model, ids) -> str:
+    return b"".join([model.raw[i] for i in ids]).decode("utf-8", "replace")
+
+
 def decode(model: Model, ids) -> str:
-    text = b"".join([model.raw[i] for i in ids]).decode("utf-8", "replace")
+    text = spelled(model, ids)
     return text[1:] if text.startswith(" ") else text
 
 
@@ -314,7 +318,7 @@ def encoded(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     small = mapped(texts.where(F.length("text") <= chunk), whole, f"id {kind}, ids array<int>, n_pieces long, round_trip boolean")
 
-    giant = staged(texts.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id()), "giant")
+    giant = staged(texts.where(F.length("text") > chunk).select("*", F.length("text").alias("length"), F.monotonically_increasing_id().alias("row")), "giant")
     reach = model.longest
     columns = ("text", "start", "left", "size")
 
@@ -327,7 +331,7 @@ def encoded(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         return at.select("row", text.alias("text"), (F.col("start") + F.col("at")).alias("start"), left.alias("left"), size.alias("size"))
 
     # A substring is found by walking from the text's start, so giant texts are first cut into parts of FAN chunks.
-    cut = parted(parted(giant.select("row", "text", F.lit(0).alias("start"), F.lit(0).alias("left"), F.length("text").alias("size")), FAN * chunk), chunk)
+    cut = parted(parted(giant.select("row", "text", F.lit(0).alias("start"), F.lit(0).alias("left"), F.col("length").alias("size")), FAN * chunk), chunk)
 
     def seen(text: str, start: int, left: int, size: int) -> tuple[str, int, int]:
         """As around(), of a part that has left characters before the chunk."""
@@ -365,17 +369,19 @@ def encoded(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def trace(batches: Iterator[dict]) -> Iterator[dict]:
         encoder = _encoder(sent)
         for batch in batches:
-            ids = [encoder.traced(*seen(t, s, f, z), e, v) for t, s, f, z, e, v in zip(*(batch[c] for c in (*columns, "enter", "leave")), strict=True)]
-            yield {"row": batch["row"], "start": batch["start"], "ids": ids}
-
-    def checked(batches: Iterator[dict]) -> Iterator[dict]:
-        for batch in batches:
-            good = [decode(sent.value, i) == t for i, t in zip(batch["ids"], batch["text"], strict=True)]
-            yield {"id": batch["id"], "ids": batch["ids"], "n_pieces": [len(i) for i in batch["ids"]], "round_trip": good}
+            out: dict = {"row": batch["row"], "start": batch["start"], "ids": [], "covered": [], "good": []}
+            for t, s, f, z, e, v in zip(*(batch[c] for c in (*columns, "enter", "leave")), strict=True):
+                text, lo, hi = seen(t, s, f, z)
+                ids = encoder.traced(text, lo, hi, e, v)
+                read = text[encoder.cut(text, lo)[e][1] : encoder.cut(text, hi)[v][1]]
+                out["ids"].append(ids)
+                out["covered"].append(len(read))
+                out["good"].append(spelled(sent.value, ids.tolist()) == read.replace(META, " ").replace(LITERAL, META))
+            yield out
 
     matrix = "row long, k int, enters int, sums array<double>"
     levels = [staged(mapped(cut, matrices, matrix), "matrices")]
-    most = -(-(giant.agg(F.max(F.length("text"))).first()[0] or 0) // chunk)
+    most = -(-(giant.agg(F.max("length")).first()[0] or 0) // chunk)
     while most > FAN:
         levels.append(staged(mapped(grouped(levels[-1], FAN), multiplied, matrix), "matrices"))
         most = -(-most // FAN)
@@ -386,7 +392,10 @@ def encoded(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     for lower in reversed(levels[:-1]):
         at = mapped(grouped(lower, FAN).join(at.withColumnRenamed("k", "group"), ["row", "group"]), solved, solution)
     at = at.select("row", (F.col("k") * chunk).alias("start"), "enter", "leave")
-    traced = mapped(cut.join(at, ["row", "start"]), trace, "row long, start int, ids array<int>")
-    joined = traced.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "ids"))), lambda p: p["ids"])).alias("ids"))
-    large = mapped(joined.join(giant, "row").select("id", "ids", "text"), checked, f"id {kind}, ids array<int>, n_pieces long, round_trip boolean")
+    traced = mapped(cut.join(at, ["row", "start"]), trace, "row long, start int, ids array<int>, covered long, good boolean")
+    ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "ids"))), lambda p: p["ids"])).alias("ids")
+    joined = traced.groupBy("row").agg(ids, F.sum("covered").alias("covered"), F.every("good").alias("good"))
+    # The chunks' ids decode to their own stretches, which together are the text with one space in front.
+    good = F.col("good") & (F.col("covered") == F.col("length") + 1)
+    large = joined.join(giant.select("row", "id", "length"), "row").select("id", "ids", F.size("ids").cast("long").alias("n_pieces"), good.alias("round_trip"))
     return small.union(large).withColumnRenamed("id", id_col)
