@@ -10,6 +10,7 @@ from foldstone.functions.limits import clamped_limit, violation
 from foldstone.sources.oplog import from_requests
 
 from .fold import BLOCK
+from .layers import kept, scratch
 from .replay import first_pairs, point_results
 
 PAIRS = "array<struct<key_b64: string, value_b64: string>>"
@@ -37,14 +38,16 @@ STATS = ("flushes", "flushed_records", "flushed_bytes", "compactions", "compacte
 ADMIN = ("sync", "flush", "compact", "stats")
 
 
-def responses(view: DataFrame, lines: DataFrame, block: int = BLOCK, merged: bool = False, stats: dict[str, int] | None = None) -> DataFrame:
+def responses(view: DataFrame, lines: DataFrame, block: int = BLOCK, merged: bool = False, stats: dict[str, int] | None = None, folder: str | None = None) -> DataFrame:
     """(seq_in, response) for each of lines(seq_in, line); view(key, value) is the state before, in binary.
 
     The view counts as puts before the first line. A scan meets no more of the view's keys than its limit.
     merged and stats are what the caller did for the batch and how it stands then: the first compact
     of a batch is answered with merged, later ones with false, stats with stats (none: no answer of
-    that kind is given, the request is refused)."""
-    requests = accepted(lines)
+    that kind is given, the request is refused). The requests and the counted keys are written into folder
+    (none: a new scratch folder), so each line is read and parsed once, not by each step."""
+    folder = folder or scratch(view.sparkSession)
+    requests = kept(accepted(lines), folder, "requests")
     if stats is None:
         refused = F.col("op").isin(*ADMIN) & F.col("code").isNull()
         requests = requests.withColumns({"message": F.when(refused, "not served here").otherwise(F.col("message")), "code": F.when(refused, "INVALID_ARGUMENT").otherwise(F.col("code"))})
@@ -58,7 +61,7 @@ def responses(view: DataFrame, lines: DataFrame, block: int = BLOCK, merged: boo
     limits = ops.where("op = 'scan'").select(F.col("seq").alias("scan"), "most")
     pair = F.struct("key", to_base64(F.col("key")).alias("key_b64"), to_base64(F.col("value")).alias("value_b64"))
     place = F.row_number().over(Window.partitionBy("scan").orderBy("key"))
-    seen = first_pairs(log, 0, block).withColumn("place", place).join(limits, "scan")
+    seen = first_pairs(log, 0, block, folder).withColumn("place", place).join(limits, "scan")
     seen = seen.where(F.col("place") <= F.col("most")).groupBy(F.col("scan").alias("seq_in"))
     found = F.transform(F.array_sort(F.collect_list(pair)), lambda p: F.struct(p["key_b64"].alias("key_b64"), p["value_b64"].alias("value_b64")))
     pairs = seen.agg(found.alias("found"))

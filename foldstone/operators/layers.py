@@ -56,6 +56,18 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
+def kept(rows: DataFrame, folder: str, name: str) -> DataFrame:
+    """rows, written into a scratch folder and read back: what several steps read is computed once."""
+    rows.write.parquet(f"{folder}/{name}")
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
+
+def dropped(spark: SparkSession, folder: str) -> None:
+    """Delete a scratch folder before the session ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def out_of_order(rows: DataFrame, key: str = "key") -> DataFrame:
     """Keys that a sorted run must not have: those with a second row. Rows of a layer are sorted when written."""
     return rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")

@@ -11,9 +11,10 @@ from foldstone.functions.encoding import to_base64
 from foldstone.sources.oplog import summed_before
 
 from .fold import BLOCK, with_previous
+from .layers import kept, scratch
 from .reads import range_join
 
-#: Neighbouring keys that a scan with a limit meets by one join key.
+#: Places of a scan that are listed at once.
 STRETCH = 1024
 
 
@@ -43,26 +44,31 @@ def scan_pairs(ops: DataFrame, bucket: Callable[[Column], Column], block: int =
     return _seen(changes, met, block)
 
 
-def first_pairs(ops: DataFrame, since: int = 0, block: int = BLOCK) -> DataFrame:
+def first_pairs(ops: DataFrame, since: int = 0, block: int = BLOCK, folder: str | None = None) -> DataFrame:
     """(scan, key, value) of what each scan saw, at least its first pairs up to its column most; ops has that column too.
 
-    Keys are counted in their order, so a scan is a stretch of places, and stretches of equal length
-    are the join key: keys with a common prefix don't meet in one task. A key that was put before
-    since and is never deleted is sure to be seen, so a scan ends at the sure key after its first
-    most ones: it meets so many, and keys that the operations from since on have touched."""
+    Keys are counted in their order, so a scan is a stretch of places, and it is joined with the keys by
+    each of its places: it reads no key but those it meets, whatever their prefixes. A key that was put
+    before since and is never deleted is sure to be seen, so a scan ends at the sure key after its first
+    most ones: it meets so many, and keys that the operations from since on have touched. The keys, and
+    then their places, are written into folder (none: a new scratch folder), as several steps read them."""
     changes = ops.where(F.col("op").isin("put", "delete")).select("seq", "op", "key", "value")
     scans = ops.where("op = 'scan' and start < end").select(F.col("seq").alias("scan"), "start", "end", "most")
     sure = (F.min("seq") < since) & ~F.bool_or(F.col("op") == "delete")
     keys = changes.groupBy("key").agg(F.lit(1).alias("real"), sure.cast("int").alias("sure"))
     bounds = scans.select("scan", "most", F.explode(F.array("start", "end")).alias("key"))
     values = keys.unionByName(bounds.select("key", F.lit(0).alias("real"), F.lit(0).alias("sure"))).groupBy("key").agg(F.max("real").alias("real"), F.max("sure").alias("sure"))
-    placed = summed_before(values, "key", {"place": F.col("real"), "passed": F.col("sure")})
+    folder = folder or scratch(ops.sparkSession)
+    placed = summed_before(kept(values, folder, "keys"), "key", {"place": F.col("real"), "passed": F.col("sure")})
+    placed = kept(placed, folder, "placed")
     stops = placed.where("sure = 1").select(F.col("passed").alias("stop"), F.col("place").alias("stop_at"))
     stop = (F.min("passed") + F.col("most")).alias("stop")
     asked = bounds.join(placed, "key").groupBy("scan", "most").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), stop).join(stops, "stop", "left")
     asked = asked.select("scan", "lo", F.least("hi", "stop_at").alias("hi")).where("lo < hi")
-    dealt = asked.withColumn("_stretch", F.explode(F.expr(f"sequence(lo div {STRETCH}, (hi - 1) div {STRETCH})")))
-    met = placed.where("real = 1").select("key", "place", F.expr(f"place div {STRETCH}").alias("_stretch")).join(dealt, "_stretch").where("lo <= place and place < hi")
+    # In two levels, so that no row holds all places of a wide scan.
+    dealt = asked.select("scan", "hi", F.explode(F.expr(f"sequence(lo, hi - 1, {STRETCH}L)")).alias("first"))
+    dealt = dealt.select("scan", F.explode(F.expr(f"sequence(first, least(hi, first + {STRETCH}) - 1)")).alias("place"))
+    met = placed.where("real = 1").select("key", "place").join(dealt, "place")
     return _seen(changes, met, block)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from foldstone.operators.front import accepted, as_operations, good, responses
-from foldstone.operators.layers import LayeredTable
+from foldstone.operators.layers import LayeredTable, dropped, scratch
 from foldstone.sources.oplog import mutations, numbered
 
 
@@ -45,8 +45,10 @@ def serve(table: LayeredTable, lines: DataFrame, out: str, checkpoint: str) -> S
             table.maintain()
         m = table.manifest()
         if number == m.last_batch:
-            made = responses(table.read(of=m.before), placed, merged=m.merged, stats=m.stats | {"tables": len(m.layers)})
+            folder = scratch(table.spark)
+            made = responses(table.read(of=m.before), placed, merged=m.merged, stats=m.stats | {"tables": len(m.layers)}, folder=folder)
             made.orderBy("seq_in").select(F.col("response").alias("value")).write.mode("overwrite").text(f"{out}/batch={number}")
+            dropped(table.spark, folder)
         placed.unpersist()
         read.unpersist()
 

@@ -3,8 +3,10 @@
 import base64
 import json
 import random
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from foldstone.cli import run
 from foldstone.functions.limits import EngineError
@@ -86,6 +88,38 @@ def test_scans_meet_no_more_keys_than_their_limit(spark):
     assert first_pairs(log).count() == 10
 
 
+def test_each_line_is_read_once(spark):
+    """However many steps need the requests."""
+    read = spark.sparkContext.accumulator(0)
+
+    def told(line):
+        read.add(1)
+        return line
+
+    lines = requests(5, 120)
+    table = spark.createDataFrame(list(enumerate(lines)), "seq_in long, line string")
+    view = spark.createDataFrame([(b"A", b"1")], "key binary, value binary")
+    made = responses(view, table.select("seq_in", F.udf(told, "string").asNondeterministic()("line").alias("line")), stats={})
+    assert [json.loads(r.response) for r in made.orderBy("seq_in").collect()] == answers({b"A": b"1"}, lines)
+    assert read.value == len(lines)
+
+
+def test_scans_read_no_keys_beside_their_range(spark):
+    """Many short scans among neighbouring keys: each is joined with the keys of its places, by equality, not with a stretch that is then cut."""
+    keys = [b"%04d" % k for k in range(3000)]
+    ops = [(k, "put", key, b"v", None, None, None) for k, key in enumerate(keys)]
+    ops += [(10_000 + k, "scan", None, None, key, b"%04d" % (k + 3), 1000) for k, key in enumerate(keys)]
+    ops.append((20_000, "scan", None, None, b"0", b"1", 1000))  # wider than a list of places
+    ops.append((20_001, "scan", None, None, b"0", b"3", 1000))
+    seen = first_pairs(spark.createDataFrame(ops, "seq long, op string, key binary, value binary, start binary, end binary, most long"))
+    joins = [line for line in seen._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert joins and not [line for line in joins if "<" in line]
+    want = {(10_000 + k, keys[j]) for k in range(3000) for j in range(k, min(k + 3, 3000))}
+    want |= {(20_000, k) for k in keys if k < b"1"} | {(20_001, k) for k in keys}
+    got = [(r.scan, bytes(r.key)) for r in seen.collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_garbage_gets_an_answer(spark):
     lines = ["", "{", "[1]", "null", '{"seq": 3, "op": "drop"}', '{"seq":1,"op":"get"}', '{"seq":1,"op":"scan","start_b64":"AA==","end_b64":"AQ==","limit":-1}']
     view = spark.createDataFrame([], "key binary, value binary")
@@ -110,6 +144,16 @@ def test_stream_of_lines(spark, tmp_path):
     assert len(table.manifest().layers) < 3
 
 
+def test_stream_leaves_no_scratch_tables(spark, tmp_path):
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.iterdir())
+    table = LayeredTable(spark, f"file://{tmp_path}/t", "binary", "binary")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.json").write_text("\n".join(requests(2, 20)))
+    serve(table, spark.readStream.text(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+    assert (tmp_path / "out" / "batch=0").exists() and set(shared.iterdir()) == before
+
+
 def test_admin_requests_act(spark, tmp_path):
     table = LayeredTable(spark, f"file://{tmp_path}/t", "binary", "binary")
     table.flush(spark.createDataFrame([(0, "put", b"a", b"1"), (1, "put", b"b", b"2")], "seq long, op string, key binary, value binary"))
